@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimgraph.functions.text import folded, terms
-from claimgraph.llm import ngrams, topn
+from claimgraph.llm import bpe, ngrams, packing, topn
 from claimgraph.plans.dealt import _RECORDS
 from claimgraph.sources import records, table
 
 LONGEST_TERM = 90
+VOCABULARY = bpe.DEFAULT_VOCABULARY
+CONTAINER_TOKENS = 2048
 
 
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +57,18 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.select(*keys, F.col("id").alias("visit_id"))
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of every document by byte_bpe_50k."""
+    return bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text", VOCABULARY)
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces (only texts over the capacity have several) and their reading containers."""
+    sized = bpe.count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", VOCABULARY)
+    packed = packing.pack(sized, "doc_id", "tokens", CONTAINER_TOKENS)
+    return packed.select("doc_id", "piece", F.col("start").alias("first_token"), F.col("size").alias("tokens"), F.col("bin").alias("container"))
+
+
 _FOLD = "lower(trim(regexp_replace({0}, '[ \\t\\n' || chr(160) || ']+', ' ', 'g')))"
 _TERMS = f"""
 WITH c AS MATERIALIZED (SELECT id, to_json([tendable_type, tendable_id]) AS record, {_FOLD.format("key")} AS key, value::JSON AS v FROM {_RECORDS.format("enliterator_claims")}),
@@ -84,4 +98,4 @@ SQL = {
     SELECT tendable_type, tendable_id, facet, id AS visit_id FROM r WHERE n > 3 AND place <= 3""",
 }
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p4_found": p4_found}
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p4_found": p4_found, "p6_ids": p6_ids, "p7_containers": p7_containers}
