@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimgraph.functions.text import folded, terms
-from claimgraph.llm import bpe, ngrams, packing, topn
+from claimgraph.llm import bpe, ngrams, packing, quality, topn
 from claimgraph.plans.dealt import _RECORDS
 from claimgraph.sources import records, table
 
@@ -69,6 +69,18 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", F.col("start").alias("first_token"), F.col("size").alias("tokens"), F.col("bin").alias("container"))
 
 
+def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's statistics and form."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality.learn(documents, table(spark, sf_dir, "document_labels"), "doc_id", "text", "form")
+    return quality.statistics(documents, "doc_id", "text", rules)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents most of whose characters stand in lists, tables or junk."""
+    return p8_statistics(spark, sf_dir).where("form NOT IN ('prose', 'blank')").select("doc_id")
+
+
 _FOLD = "lower(trim(regexp_replace({0}, '[ \\t\\n' || chr(160) || ']+', ' ', 'g')))"
 _TERMS = f"""
 WITH c AS MATERIALIZED (SELECT id, to_json([tendable_type, tendable_id]) AS record, {_FOLD.format("key")} AS key, value::JSON AS v FROM {_RECORDS.format("enliterator_claims")}),
@@ -98,4 +110,4 @@ SQL = {
     SELECT tendable_type, tendable_id, facet, id AS visit_id FROM r WHERE n > 3 AND place <= 3""",
 }
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p4_found": p4_found, "p6_ids": p6_ids, "p7_containers": p7_containers}
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p4_found": p4_found, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_statistics": p8_statistics, "p8_found": p8_found}
