@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimgraph.functions.text import folded, terms
-from claimgraph.llm import bpe, ngrams, packing, quality, topn
+from claimgraph.functions.text import folded, terms, trimmed
+from claimgraph.llm import bpe, names, ngrams, packing, quality, topn
 from claimgraph.plans.dealt import _RECORDS
 from claimgraph.sources import records, table
 
 LONGEST_TERM = 90
 VOCABULARY = bpe.DEFAULT_VOCABULARY
 CONTAINER_TOKENS = 2048
+NAME_KEYS = ("advisor", "authored_by", "contributor", "corporate_author")
 
 
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +58,26 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.select(*keys, F.col("id").alias("visit_id"))
 
 
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distinct name of the name claims and the entity it stands for."""
+    claims = records(table(spark, sf_dir, "enliterator_claims"), "key", "value")
+    held = claims.where(folded(F.col("key")).isin(*NAME_KEYS)).select(F.explode(terms(F.col("value"))).alias("name"))
+    counted = held.groupBy(trimmed(F.col("name")).alias("name")).agg(F.count("*").alias("n"))
+    return names.link(counted.where("name <> ''"), "name", "n")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different spellings of one person or organisation."""
+    return names.pairs(_linked(spark, sf_dir))
+
+
+def p5_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every name with the first spelling of its entity and the number of its spellings; null where it stands for none or several."""
+    linked = _linked(spark, sf_dir)
+    sizes = linked.where("entity IS NOT NULL").groupBy("entity").agg(F.min("name").alias("representative"), F.count("*").alias("spellings"))
+    return linked.join(sizes, "entity", "left").select("name", "representative", "spellings")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tokens of every document by byte_bpe_50k."""
     return bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text", VOCABULARY)
@@ -110,4 +131,4 @@ SQL = {
     SELECT tendable_type, tendable_id, facet, id AS visit_id FROM r WHERE n > 3 AND place <= 3""",
 }
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p4_found": p4_found, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_statistics": p8_statistics, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p4_found": p4_found, "p5_found": p5_found, "p5_names": p5_names, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_statistics": p8_statistics, "p8_found": p8_found}
