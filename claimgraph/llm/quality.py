@@ -33,17 +33,20 @@ der die das den dem des ein eine einen zu von mit für auf noch nach vor
 """.split()
 WORD = r"\p{L}[\p{L}\p{M}'’]*"
 SPACE = r"[\s 　​﻿]+"
+HAN = r"぀-ヿ㐀-䶿一-鿿"
+# Patterns start with what is rare and match one character each, so that a count is a difference of lengths.
 #: A line break inside a sentence: after a letter or comma, before a small letter.
-WRAP = r"(?<=[\p{L},])[ \t]*\r?\n(?=\p{Ll})"
+WRAP = r"\r?\n(?=\p{Ll})(?<=[\p{L},][ \t]{0,8}\r?\n)"
+WRAPPED = "\u2063"
 UNIT = r"\r?\n|\f"
-END = r"[\p{L}\p{N})\]\"”»’%][.!?。！？…]+[\"”»)’」]*(?=\s|$|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}])"
+END = rf"[.!?。！？…](?<=[\p{{L}}\p{{N}})\]\"”»’%].)(?=[.!?。！？…]*[\"”»)’」]*(?:\s|$|[{HAN}]))"
 MARK = r"^[ \t]*(?:[-*•·–—◦▪+>]|\(?\p{N}{1,3}[.):]|\(?[a-z][.)]|\p{N}+(?:\.\p{N}+)+)[ \t]"
-SEPARATOR = r"[|;·•\t=/]|  +"
+SEPARATOR = r"[|;·•\t=/]| (?= )(?<![ ].)"
+UPPER = r"\p{Lu}(?<![\p{L}\p{M}].)"
 FULL = r"[.!?。！？…][\"”»)’」]*\s*$"
-VOWELS = "[aeiouyáéíóúàèìòùâêîôûäëïöüãõåæøœаеёиоуыэюя]+"
 #: The comparisons that each feature may be used in: what speaks for prose, first of all.
-SIDES = {"ends": ">", "common": ">", "clause": ">", "letters": ">", "full_stop": ">", "chars": ">", "seps": "<=", "marked": "<=", "symbols": "<=", "digits": "<=", "gap": "<=", "odd": "<=", "word_length": "<="}
-FEATURES = ["letters", "digits", "symbols", "word_length", "upper", "common", "clause", "ends", "span", "seps", "marked", "gap", "odd", "han", "full_stop", "chars"]
+SIDES = {"ends": ">", "common": ">", "clause": ">", "letters": ">", "full_stop": ">", "chars": ">", "seps": "<=", "marked": "<=", "symbols": "<=", "digits": "<=", "odd": "<=", "word_length": "<="}
+FEATURES = ["letters", "digits", "symbols", "word_length", "upper", "common", "clause", "ends", "span", "seps", "marked", "odd", "han", "full_stop", "chars"]
 ORDER = ("prose", "table", "junk", "list")
 #: At most so many labelled documents, and so many units of them, are used to learn the rules.
 LABELLED_DOCUMENTS, LABELLED_UNITS = 6_000, 150_000
@@ -54,32 +57,37 @@ def _without(text: Column, pattern: str) -> Column:
 
 
 def units(rows: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
-    """key, keep..., lines, ended, and the features of each unit that is not blank; `lines` and `ended` are of the whole text."""
+    """key, keep..., lines (that were joined), and the features of each unit that is not blank."""
     body = F.col(text).cast("string")
-    lines = F.regexp_count(body, F.lit(r"[^\s][^\n]*"))
-    ended = F.regexp_count(body, F.lit(r"(?m)[.!?。！？…][\"”»)’」]*[ \t\r]*$"))
-    unit = F.explode(F.split(F.regexp_replace(body, WRAP, " "), UNIT))
-    cut = rows.select(F.col(key).alias("key"), *keep, lines.alias("lines"), ended.alias("ended"), unit.alias("u"))
+    # Each unit counts its own lines: a wrapped one has its break as a mark instead.
+    joined = F.split(F.regexp_replace(body, WRAP, f" {WRAPPED}"), UNIT)
+    cut = rows.select(F.col(key).alias("key"), *keep, F.explode(joined).alias("u"))
+    lines = 1 + F.length("u") - F.length(F.replace("u", F.lit(WRAPPED)))
     u, low = F.col("u"), F.lower("u")
     size = F.length("u")
     counted = cut.select(
+        "key",
+        *keep,
+        lines.alias("lines"),
+        F.replace("u", F.lit(WRAPPED)).alias("u"),
+    ).select(
         "*",
         _without(u, SPACE).alias("chars"),
         F.regexp_extract_all(low, F.lit(f"({WORD})")).alias("w"),
         (size - _without(u, r"[\p{L}\p{M}]+")).alias("n_letters"),
         (size - _without(u, r"\p{N}+")).alias("n_digits"),
-        F.regexp_count(u, F.lit(r"(?<![\p{L}\p{M}])\p{Lu}")).alias("n_upper"),
-        F.regexp_count(u, F.lit(END)).alias("n_ends"),
-        F.regexp_count(u, F.lit(SEPARATOR)).alias("n_seps"),
-        (size - _without(low, VOWELS)).alias("n_vowels"),
-        (size - _without(u, r"[\p{IsLatin}\p{IsCyrillic}]+")).alias("n_alphabetic"),
+        (size - _without(u, UPPER)).alias("n_upper"),
+        (size - _without(u, END)).alias("n_ends"),
+        (size - _without(u, SEPARATOR)).alias("n_seps"),
         (size - _without(u, r"[\u0080-¿�]+")).alias("n_odd"),
-        (size - _without(u, r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]+")).alias("n_han"),
+        (size - _without(u, f"[{HAN}]+")).alias("n_han"),
         u.rlike(MARK).cast("double").alias("marked"),
-        u.rlike(FULL).cast("double").alias("full_stop"),
+        F.right(u, F.lit(12)).rlike(FULL).cast("double").alias("full_stop"),
     ).where("chars > 0")
     everyday, clause = [*dict.fromkeys(CLAUSE + PHRASE)], [*dict.fromkeys(CLAUSE)]
-    numbered = counted.withColumns({"words": F.size("w"), "n_common": F.size(F.filter("w", lambda w: w.isin(everyday))), "n_clause": F.size(F.filter("w", lambda w: w.isin(clause)))}).drop("w", "u")
+    known = counted.withColumn("c", F.filter("w", lambda w: w.isin(everyday)))
+    sizes = {"words": F.size("w"), "n_common": F.size("c"), "n_clause": F.size(F.filter("c", lambda w: w.isin(clause)))}
+    numbered = known.withColumns(sizes).drop("w", "c", "u")
     share = lambda c, of="chars": F.col(c) / F.greatest(F.col(of), F.lit(1))
     return numbered.withColumns(
         {
@@ -93,15 +101,14 @@ def units(rows: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
             "ends": share("n_ends") * 100,
             "span": F.when(F.col("n_ends") > 0, F.col("chars") / F.col("n_ends")).otherwise(999.0),
             "seps": share("n_seps") * 100,
-            "gap": F.when(F.col("n_alphabetic") > 0, F.abs(F.col("n_vowels") / F.col("n_alphabetic") - 0.4)).otherwise(0.0),
             "odd": share("n_odd"),
             "han": share("n_han"),
         }
     )
 
 
-def learn(documents: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> RuleList:
-    """A rule list for units, from labelled documents.
+def learn(documents: DataFrame, labels: DataFrame, key: str, text: str, label: str, kinds: bool = True) -> RuleList:
+    """A rule list for units, from labelled documents: of all of ORDER, or (without `kinds`) of prose and 'other' only.
 
     At most LABELLED_DOCUMENTS labels, chosen by a hash of the key, are taken to the
     driver and sent to the documents; at most LABELLED_UNITS units come back. Labels
@@ -111,22 +118,24 @@ def learn(documents: DataFrame, labels: DataFrame, key: str, text: str, label: s
     held = labels.where(F.col(label).isin(*ORDER) & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias("__label"))
     chosen = held.orderBy(F.xxhash64(key), key).limit(LABELLED_DOCUMENTS).toPandas()
     if not len(chosen):
-        return RuleList((), ORDER[0])
+        return RuleList((), ORDER[0], (ORDER[0],))
     spark = documents.sparkSession
     sample = spark.createDataFrame(chosen, held.schema)
     known = documents.select(key, text).join(F.broadcast(sample), key)  # at most LABELLED_DOCUMENTS rows
     seen = units(known, key, text, "__label").select("__label", *FEATURES).limit(LABELLED_UNITS).toPandas()
     columns = {f: seen[f].to_numpy(float) for f in FEATURES}
     weight = columns["chars"].clip(max=3000)
-    return induce(columns, seen["__label"].to_numpy(), weight, order=[c for c in ORDER if (seen["__label"] == c).any()], sides=SIDES, pure=0.03)
+    found = seen["__label"] if kinds else seen["__label"].where(seen["__label"] == ORDER[0], "other")
+    order = [c for c in (ORDER if kinds else (ORDER[0], "other")) if c == ORDER[0] or (found == c).any()]
+    return induce(columns, found.to_numpy(), weight, order=order, sides=SIDES, pure=0.03)
 
 
 def statistics(documents: DataFrame, key: str, text: str, rules: RuleList) -> DataFrame:
     """One row for each document: key, words, mean_word_length, symbol_ratio, punctuated_lines, common_words, prose_share, form.
 
-    `form` is 'prose' if at least half of the characters (white space not counted)
-    stand in units that `rules` call prose, else the one of table, junk and list that
-    holds most (in that order among equals); 'blank' for null, empty and blank texts,
+    `form` is the first label of `rules` (prose) if at least half of the characters
+    (white space not counted) stand in units of that label, else the other label that
+    holds most (the first among equals); 'blank' for null, empty and blank texts,
     whose shares are null and counts 0. Keys should be unique; rows with the same
     key are counted together. A text's units are added up where they are read.
     """
@@ -138,13 +147,16 @@ def statistics(documents: DataFrame, key: str, text: str, rules: RuleList) -> Da
         total("n_letters").alias("n_letters"),
         total("n_digits").alias("n_digits"),
         total("n_common").alias("n_common"),
-        F.max("lines").alias("lines"),
-        F.max("ended").alias("ended"),
-        *(total(F.when(F.col("kind") == k, F.col("chars")).otherwise(0)).alias(f"in_{k}") for k in ORDER),
+        total("lines").alias("lines"),
+        total("full_stop").alias("ended"),
+        *(total(F.when(F.col("kind") == k, F.col("chars")).otherwise(0)).alias(f"in_{k}") for k in rules.labels),
     )
     blank = documents.where(F.col(text).isNull() | (F.regexp_replace(F.col(text).cast("string"), SPACE, "") == "")).select(F.col(key).alias("key")).distinct()
-    most = F.greatest("in_table", "in_junk", "in_list")
-    form = F.when(F.col("in_prose") * 2 >= F.col("chars"), "prose").when(F.col("in_table") == most, "table").when(F.col("in_junk") == most, "junk").otherwise("list")
+    prose = F.col(f"in_{rules.labels[0]}")
+    form, rest = F.when(prose * 2 >= F.col("chars"), rules.labels[0]), rules.labels[1:]
+    for k in rest[:-1]:
+        form = form.when(F.col(f"in_{k}") == F.greatest(*(f"in_{r}" for r in rest)), k)
+    form = form.otherwise(rest[-1] if rest else rules.labels[0])
     found = sums.select(
         F.col("key").alias(key),
         "words",
@@ -152,7 +164,7 @@ def statistics(documents: DataFrame, key: str, text: str, rules: RuleList) -> Da
         ((F.col("chars") - F.col("n_letters") - F.col("n_digits")) / F.col("chars")).alias("symbol_ratio"),
         F.least(F.col("ended") / F.greatest("lines", F.lit(1)), F.lit(1.0)).alias("punctuated_lines"),
         (F.col("n_common") / F.greatest("words", F.lit(1))).alias("common_words"),
-        (F.col("in_prose") / F.col("chars")).alias("prose_share"),
+        (prose / F.col("chars")).alias("prose_share"),
         form.alias("form"),
     )
     null = F.lit(None).cast("double")

@@ -34,6 +34,7 @@ class Rule:
 class RuleList:
     rules: tuple[Rule, ...]
     default: str
+    labels: tuple[str, ...] = ()
 
     def predict(self, columns: dict[str, np.ndarray]) -> np.ndarray:
         n = len(next(iter(columns.values()))) if columns else 0
@@ -106,7 +107,7 @@ def induce(columns: dict[str, np.ndarray], labels: Sequence[str], weight: np.nda
     """
     labels = np.asarray(labels, object)
     if not len(labels):
-        return RuleList((), "")
+        return RuleList((), "", ())
     classes = list(order or sorted(set(labels), key=lambda c: (weight[labels == c].sum(), c)))
     rng = np.random.default_rng(seed)
     cuts = {}
@@ -137,4 +138,4 @@ def induce(columns: dict[str, np.ndarray], labels: Sequence[str], weight: np.nda
             made_here, misses = made_here + 1, 0
             found.append(made)
             left &= ~hit
-    return RuleList(tuple(found), classes[-1])
+    return RuleList(tuple(found), classes[-1], tuple(classes))
