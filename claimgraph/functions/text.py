@@ -37,3 +37,26 @@ def terms(value: Column) -> Column:
     items = F.flatten(F.transform(opened(parsed), opened))
     texts = F.transform(items, lambda x: F.when(F.schema_of_variant(x) == "STRING", x.cast("string")).otherwise(_designation(x)))
     return F.coalesce(F.filter(texts, lambda x: x.isNotNull()), F.array().cast("array<string>"))
+
+
+def shortened(text: Column, size: int = 160) -> Column:
+    """At most `size` characters, with an ellipsis if something was cut."""
+    return F.when(F.length(text) > size, F.concat(F.left(text, F.lit(size)), F.lit("…"))).otherwise(text)
+
+
+def fnv1a(text: Column) -> Column:
+    """The 32-bit FNV-1a hash of the text's UTF-8 bytes, as a long."""
+    hexed = F.hex(F.encode(text, "UTF-8"))
+    byte = lambda i: F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("bigint")
+    places = F.when(F.length(hexed) > 0, F.sequence(F.lit(0), F.expr("0") + (F.length(hexed) / 2).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    mixed = F.aggregate(places, F.lit(2166136261).cast("bigint"), lambda h, i: F.pmod(h.bitwiseXOR(byte(i)) * F.lit(16777619).cast("bigint"), F.lit(4294967296).cast("bigint")))
+    return F.when(text.isNotNull(), mixed)
+
+
+def loose_json(text: Column) -> Column:
+    """A JSON text out of what a model wrote: code fences cut off, else the outermost braces, and one level of quoting undone; null if nothing parses."""
+    bare = F.trim(F.regexp_replace(text, r"^\s*```[a-zA-Z]*\s*|\s*```\s*$", ""))
+    inner = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
+    once = F.when(F.try_parse_json(bare).isNotNull(), bare).when(F.try_parse_json(inner).isNotNull(), inner)
+    quoted = F.when(F.schema_of_variant(F.try_parse_json(once)) == "STRING", F.try_variant_get(F.try_parse_json(once), "$", "string"))
+    return F.when(quoted.isNotNull() & F.try_parse_json(quoted).isNotNull(), quoted).otherwise(once)

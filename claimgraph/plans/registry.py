@@ -1,6 +1,6 @@
 """All queries of the core, by name."""
 
-from claimgraph.plans import dealt
+from claimgraph.plans import dealt, store
 
-QUERIES = {**dealt.QUERIES}
-SQL = {**dealt.SQL}
+QUERIES = {**store.QUERIES, **dealt.QUERIES}
+SQL = {**store.SQL, **dealt.SQL}
