@@ -115,18 +115,19 @@ def parse(name: str) -> dict:
     # Two capitals in a name that is not all capitals are initials, not a word.
     if name != name.upper():
         for pair in re.findall(r"\b[A-Z]{2}\b", name):
-            if not re.search(rf",\s*{pair}\s*$", name) and pair.lower() not in GENERATIONS:
+            if name.startswith(pair) or not re.search(rf",\s*{pair}\s*$", name) and pair.lower() not in GENERATIONS:
                 text = re.sub(rf"\b{pair.lower()}\b", f"{pair[0].lower()}. {pair[1].lower()}.", text, count=1)
     pieces = [p.strip() for p in text.split(",")]
     generation, kept = "", []
     for i, p in enumerate(pieces):
         plain = p.replace(".", "").replace(" ", "")
-        if i and plain in GENERATIONS:
+        dotted = re.fullmatch(r"[a-z]\.\s?[a-z]\.?", p) and len(pieces) == 2 and " " not in pieces[0]
+        if dotted:
+            kept.append(p)  # a surname and initials, even if they spell something
+        elif i and plain in GENERATIONS:
             generation = GENERATIONS[plain]
         elif not (i and plain in DEGREES) and p:
             kept.append(p)
-    if len(pieces) == 2 and len(kept) == 1 and not generation and " " not in kept[0] and re.fullmatch(r"[a-z]\.\s?[a-z]\.?", pieces[1]):
-        kept = pieces  # a surname and initials that spell a degree
     words = [w for p in kept for w in re.sub(r"\.(?=[^\s.])", ". ", p).split()]
     if len(kept) > 2 or not words:
         return several
