@@ -14,8 +14,8 @@ IDENTIFIER_KEY = r"(^|_)(number|no|id|code|doi|isbn|issn|identifier)(_|$)"
 CHARTER_KEY = r"^charter_"
 
 
-def host_types(visits: DataFrame, internal: str = "Enliterator::%") -> DataFrame:
-    """tendable_type: the types in the visit log that are not the engine's own."""
+def host_types(visits: DataFrame, internal: str = "%::%") -> DataFrame:
+    """tendable_type: the types in the visit log that are not internal ones, which have a namespace."""
     return visits.where(~F.col("tendable_type").like(internal)).select("tendable_type").distinct()
 
 

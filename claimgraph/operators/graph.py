@@ -17,7 +17,6 @@ CATEGORIES = (
     ("subject", r"subject|keyword|index_terms|topic|theme|cluster|tag|issue|domain"),
     ("evidence", r"evidence|finding|method|basis|quote|passage|excerpt|indicator|risk|rationale"),
 )
-PART = "Enliterator::Part"
 
 
 def category(key: Column) -> Column:

@@ -400,7 +400,7 @@ def accession_page(spark, d):
     return catalog.page(rows, 2)
 
 
-@_query("SELECT DISTINCT tendable_type FROM v WHERE tendable_type NOT LIKE 'Enliterator::%'")
+@_query("SELECT DISTINCT tendable_type FROM v WHERE tendable_type NOT LIKE '%::%'")
 def host_types(spark, d):
     return catalog.host_types(_v(spark, d, "tendable_type"))
 
