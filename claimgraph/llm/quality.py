@@ -127,7 +127,7 @@ def learn(documents: DataFrame, labels: DataFrame, key: str, text: str, label: s
     weight = columns["chars"].clip(max=3000)
     found = seen["__label"] if kinds else seen["__label"].where(seen["__label"] == ORDER[0], "other")
     order = [c for c in (ORDER if kinds else (ORDER[0], "other")) if c == ORDER[0] or (found == c).any()]
-    return induce(columns, found.to_numpy(), weight, order=order, sides=SIDES, pure=0.03)
+    return induce(columns, found.to_numpy(), weight, order=order, sides=SIDES, pure=0.02, least_worth=0.7)
 
 
 def statistics(documents: DataFrame, key: str, text: str, rules: RuleList) -> DataFrame:
