@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from claimgraph.functions.text import terms
 from claimgraph.operators.catalog import IDENTIFIER_KEY, LONGEST
 from claimgraph.operators.claims import live, understanding
+from claimgraph.sources import stage
 
 # A key's category is the first whose words it contains.
 CATEGORIES = (
@@ -85,8 +86,10 @@ def capped(drawn: DataFrame, most: int) -> DataFrame:
 def focus(drawn: DataFrame, centre: str, hops: int = 2, most: int = 250) -> DataFrame:
     """node, hop: what lies within `hops` links of a node, nearest and best-linked first, at most `most`.
 
-    One semi-join a hop; context links are followed to contexts but not out of them.
+    One semi-join a hop over the edges, which are written once; context links are
+    followed to contexts but not out of them.
     """
+    drawn = stage(drawn.select("s", "t", "category")).df
     both = drawn.select("s", "t").unionByName(drawn.select(F.col("t").alias("s"), F.col("s").alias("t"))).where(~F.col("s").startswith("context/")).distinct()
     reached = drawn.sparkSession.createDataFrame([(centre, 0)], "node string, hop int")
     front = reached
