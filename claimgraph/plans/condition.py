@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from claimgraph.operators import claims, graph, sections, survey, visits
+from claimgraph.operators import claims, graph, planner, sections, survey, visits
 from claimgraph.plans import store
 from claimgraph.plans.store import MONTH, RECORD, THEN, _a, _c, _contexts, _m, _query, _v
 from claimgraph.sources import table
@@ -180,4 +180,25 @@ def recent_activity(spark, d):
     return rows.groupBy("tendable_type", "facet").agg(F.count("*").alias("n"), F.count_distinct("tendable_id").alias("records"))
 
 
+def budget_plan(spark, d):
+    """What 200,000 tokens afford of the frontier, shared fairly among contexts; dealt in order, so it has no short SQL."""
+    log = _v(spark, d, *RECORD, "facet", "context_id", "status", "applied", "created_at", "tokens_total")
+    cost = visits.estimates(log).where(F.col("facet") == store.FACET).select(F.col("est").alias("cost"))
+    waiting = visits.frontier(_m(spark, d), log, store.FACET).join(F.broadcast(cost), F.lit(True))  # one row
+    return planner.planned(waiting, "context_id", "cost", [F.col("created_at"), F.col("member_type"), F.col("member_id")], 200_000)
+
+
+store.QUERIES["budget_plan"] = budget_plan
+
+
+@_query(
+    """, i AS (SELECT tendable_type, tendable_id, facet, reason, row_number() OVER (PARTITION BY tendable_type, tendable_id, facet ORDER BY CASE reason WHEN 'source_change' THEN 1 WHEN 'neighborhood' THEN 2 WHEN 'vocabulary' THEN 3 WHEN 'frontier' THEN 4 ELSE 5 END, created_at, id) AS r
+    FROM v WHERE reason IS NOT NULL) SELECT tendable_type, tendable_id, facet, reason FROM i WHERE r = 1"""
+)
+def first_reasons(spark, d):
+    rows = _v(spark, d, *RECORD, "facet", "reason", "created_at").where("reason IS NOT NULL")
+    rank = F.when(F.col("reason") == "source_change", 1).when(F.col("reason") == "neighborhood", 2).when(F.col("reason") == "vocabulary", 3).when(F.col("reason") == "frontier", 4).otherwise(5)
+    return planner.first_reason(rows, [*RECORD, "facet"], F.struct(rank.alias("k"), "created_at", "id")).select(*RECORD, "facet", "reason")
+
+
 QUERIES, SQL = store.QUERIES, store.SQL

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimgraph.functions import text
-from claimgraph.operators import audits, claims, sections, vectors, visits, weighted
+from claimgraph.operators import audits, claims, planner, sections, vectors, visits, weighted
 from claimgraph.sources import archive, records
 from claimgraph.streaming import visits as stream
 
@@ -182,3 +182,20 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = {tuple(r) for r in stream.per_window(v).collect()}
     assert done and done < batch and len(batch - done) <= 3  # the newest windows wait for the watermark
     assert sum(r.visits for r in stream.sessions(v).collect()) == 40
+
+
+def test_budget_is_dealt(spark):
+    assert planner.greedy([(5, 10), (9, 30), (4, 7)], 125) == [5, 2, 2]
+    assert planner.fair([(2, 10), (100, 10)], 200) == [2, 18]
+    assert planner.fair([(5, 40), (5, 30)], 59) == [1, 0] and planner.fair([], 10) == [] and planner.fair([(3, 5)], 0) == [0]
+    r = random.Random(8)
+    for _ in range(200):
+        lanes, budget = [(r.randrange(20), r.randrange(1, 50)) for _ in range(r.randrange(1, 6))], r.randrange(400)
+        for deal in (planner.fair, planner.greedy):
+            got = deal(lanes, budget)
+            assert sum(k * c for k, (_, c) in zip(got, lanes)) <= budget and all(0 <= k <= n for k, (n, _) in zip(got, lanes))
+    rows = spark.createDataFrame([("a", i, 10) for i in range(2)] + [("b", i, 10) for i in range(100)] + [(None, 1, 500)], "lane string, i int, cost int")
+    got = planner.planned(rows, "lane", "cost", [F.col("i")], 300).collect()
+    assert Counter(x.lane for x in got) == {"a": 2, "b": 28}
+    assert all(x.place == x.i + 1 for x in got)
+    assert planner.planned(rows.limit(0), "lane", "cost", [F.col("i")], 300).count() == 0
