@@ -169,18 +169,21 @@ def chain_tokens(visits: DataFrame, forest: DataFrame) -> DataFrame:
     )
 
 
-def passes(visits: DataFrame, last: int = 50) -> DataFrame:
-    """pass, visits, added, updated, deleted, noop, mean_confidence, novel_rate over the n-th readings of records on facets.
+def numbered(visits: DataFrame, last: int = 50) -> DataFrame:
+    """The `last` newest applied visits of each record and facet with `pass`, counted from the oldest of them.
 
-    Of each record and facet the `last` newest applied visits count, numbered from
-    the oldest of them; the sort reads each group once and keeps its newest.
+    The sort reads each group once and keeps its newest.
     """
     key = [*RECORD, "facet"]
     newest = Window.partitionBy(*key).orderBy(F.col("created_at").desc(), F.col("id").desc())
     kept = applied(visits).withColumn("back", F.row_number().over(newest)).where(F.col("back") <= last)
     sizes = Window.partitionBy(*key).orderBy("back").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    numbered = kept.withColumn("pass", (F.max("back").over(sizes) - F.col("back") + 1).cast("bigint"))
+    return kept.withColumn("pass", (F.max("back").over(sizes) - F.col("back") + 1).cast("bigint"))
+
+
+def passes(visits: DataFrame, last: int = 50) -> DataFrame:
+    """pass, visits, added, updated, deleted, noop, mean_confidence, novel_rate over the n-th readings of records on facets."""
     sums = {k: F.sum(F.coalesce(f"n_{k}", F.lit(0))).cast("bigint").alias(k) for k in ("added", "updated", "deleted", "noop")}
-    totals = numbered.groupBy("pass").agg(F.count("*").alias("visits"), *sums.values(), F.round(F.avg("confidence"), 4).alias("mean_confidence"))
+    totals = numbered(visits, last).groupBy("pass").agg(F.count("*").alias("visits"), *sums.values(), F.round(F.avg("confidence"), 4).alias("mean_confidence"))
     ops = F.expr("added + updated + deleted + noop")
     return totals.withColumn("novel_rate", F.when(ops > 0, F.round(F.col("added") / ops, 6)))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimgraph.functions.text import fnv1a, shortened, terms
-from claimgraph.operators import audits, catalog, claims, graph, hierarchy, scope, sections, vectors, visits, vocabulary
+from claimgraph.operators import audits, catalog, claims, graph, hierarchy, scope, sections, trajectory, vectors, visits, vocabulary
 from claimgraph.plans.dealt import _RECORDS
 from claimgraph.sources import records, table
 from claimgraph.streaming import visits as stream
@@ -360,6 +360,28 @@ def timeline_diff(spark, d):
     return claims.state_diff(claims.state_at(rows, THEN), claims.state_at(rows, MONTH))
 
 
+#: What each applied visit left: the claims of its facet that live a millisecond before the next later one, at the end of the log for the last.
+_TIMELINE = """, t AS (SELECT *, row_number() OVER (PARTITION BY tendable_type, tendable_id, facet ORDER BY created_at, id) AS step,
+      min(created_at) OVER (PARTITION BY tendable_type, tendable_id, facet ORDER BY epoch_us(created_at) RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) - INTERVAL 1 MILLISECOND AS until FROM done WHERE created_at IS NOT NULL),
+    o AS (SELECT c.*, v.facet, CASE WHEN c.superseded_by_id IS NOT NULL THEN CASE WHEN s.id IS NULL THEN TIMESTAMP 'infinity' ELSE s.created_at END WHEN c.status = 'superseded' THEN c.updated_at ELSE TIMESTAMP 'infinity' END AS ended
+      FROM c JOIN v ON v.id = c.visit_id AND v.tendable_type IS NOT DISTINCT FROM c.tendable_type AND v.tendable_id IS NOT DISTINCT FROM c.tendable_id LEFT JOIN c s ON s.id = c.superseded_by_id),
+    st AS MATERIALIZED (SELECT t.tendable_type, t.tendable_id, t.facet, t.step, t.id AS visit_id, o.key, arg_max({'id': o.id, 'value': o.value}, (o.created_at, o.id)) AS c FROM t
+      JOIN o ON o.tendable_type IS NOT DISTINCT FROM t.tendable_type AND o.tendable_id IS NOT DISTINCT FROM t.tendable_id AND o.facet IS NOT DISTINCT FROM t.facet
+      WHERE (t.until IS NULL OR o.created_at <= t.until) AND (o.ended = TIMESTAMP 'infinity' OR t.until IS NOT NULL AND o.ended > t.until) AND o.created_at IS NOT NULL GROUP BY ALL),
+    pr AS (SELECT n.tendable_type, n.tendable_id, n.facet, n.id AS visit_id, n.step, p.id AS prior_id FROM t n JOIN t p ON p.tendable_type IS NOT DISTINCT FROM n.tendable_type AND p.tendable_id IS NOT DISTINCT FROM n.tendable_id AND p.facet IS NOT DISTINCT FROM n.facet AND p.step = n.step - 1),
+    was AS (SELECT pr.visit_id, st.key, st.c FROM pr JOIN st ON st.visit_id = pr.prior_id), now AS (SELECT st.visit_id, st.key, st.c FROM st WHERE st.step > 1),
+    df AS (SELECT coalesce(was.visit_id, now.visit_id) AS visit_id, coalesce(was.key, now.key) AS key, CASE WHEN was.c IS NULL THEN 'added' WHEN now.c IS NULL THEN 'deleted' ELSE 'changed' END AS kind,
+      was.c.id AS from_id, now.c.id AS to_id, was.c.value AS from_value, now.c.value AS to_value FROM was FULL JOIN now ON was.visit_id = now.visit_id AND was.key IS NOT DISTINCT FROM now.key
+      WHERE was.c IS NULL OR now.c IS NULL OR was.c.id <> now.c.id)
+"""
+
+
+@_query(_TIMELINE + "SELECT v.tendable_type, v.tendable_id, v.facet, df.* FROM df JOIN v ON v.id = df.visit_id")
+def timeline(spark, d):
+    rows = _c(spark, d, *RECORD, "key", "value", "superseded_by_id", "status", "visit_id", "created_at")
+    return trajectory.timeline(_v(spark, d, *RECORD, "facet", "status", "applied", "created_at"), rows)
+
+
 @_query("SELECT c.id, s.id AS next_id, c.key FROM c JOIN c s ON s.id = c.superseded_by_id AND s.key = c.key WHERE c.value IS NOT NULL AND s.value IS NOT NULL")
 def successions(spark, d):
     return claims.successions(_c(spark, d, "key", "value", "superseded_by_id")).select("id", "next_id", "key")
