@@ -84,3 +84,9 @@ def review_queue(audits: DataFrame, n: int) -> DataFrame:
     rank = F.when(F.col("verdict") == "unverifiable", 1).otherwise(0)
     some = lambda rows, k: rows.orderBy(rank, F.col("at").desc(), "claim_id").limit(k).select("claim_id", "verdict")
     return some(waiting.where("verdict <> 'supported'"), doubted).unionByName(some(waiting.where("verdict = 'supported'"), supported))
+
+
+def reviewed(audits: DataFrame) -> DataFrame:
+    """audited, reviewed: the claims that an examiner, and that a person, gave a verdict on."""
+    distinct = lambda source: F.count_distinct(F.when(F.col("source") == source, F.col("claim_id")))
+    return audits.agg(distinct("examiner").alias("audited"), distinct("human").alias("reviewed"))

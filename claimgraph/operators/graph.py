@@ -76,6 +76,57 @@ def nodes(drawn: DataFrame) -> DataFrame:
     return counted.select("node", "kind", "degree", priority.cast("bigint").alias("priority"))
 
 
+def strength() -> Column:
+    """An edge's weight; one without counts as 0.5."""
+    return F.coalesce(F.when(F.col("weight") != 0, F.col("weight")), F.lit(0.5))
+
+
+def grouped(claims: DataFrame, closed: DataFrame) -> DataFrame:
+    """node, group: each record's deepest context among its live understanding claims, the smaller id among equals; none for a record read at the root only."""
+    depths = closed.groupBy("context_id").agg(F.max("depth").alias("depth"))
+    held = claims.where(live() & understanding() & F.col("context_id").isNotNull()).select(node_id(F.col("tendable_type"), F.col("tendable_id")).alias("node"), "context_id")
+    best = F.max(F.struct(F.coalesce("depth", F.lit(0)).alias("depth"), (-F.col("context_id")).alias("least")))
+    return held.join(depths, "context_id", "left").groupBy("node").agg((-best["least"]).alias("group"))
+
+
+def overview_nodes(drawn: DataFrame, groups: DataFrame, most: int = 240) -> DataFrame:
+    """node: what the overview shows, at most `most`: contexts, the best-linked records of each group, the ends of the 80 strongest links between records, the 70 best-linked entities of at least two links, then records until there are `most`.
+
+    Nodes are taken in that order, contexts by name, groups by context id with the
+    root last, equal degrees by name, so the cut is the same each time.
+    """
+    kind = F.when(F.col("node").startswith("context/"), "context").when(F.col("node").startswith("term/"), "entity").otherwise("record")
+    known = stage(degrees(drawn).select("node", "degree", kind.alias("kind"))).df
+    records = known.where("kind = 'record'").join(groups, "node", "left")
+    n_groups = records.agg(F.count_distinct(F.coalesce("group", F.lit(-1))).alias("n")).first()["n"]
+    each = min(max(-(-130 // max(n_groups, 1)), 18), 55)
+    linked = [F.col("degree").desc(), F.col("node")]
+    place = lambda part, b=F.lit(0), a=F.lit(0): F.struct(F.lit(part).alias("part"), a.cast("bigint").alias("a"), b.cast("bigint").alias("b"), "node").alias("place")
+    ranked = records.withColumn("r", F.row_number().over(Window.partitionBy("group").orderBy(*linked))).where(F.col("r") <= each)
+    ends = known.where("kind = 'record'").select("node")
+    between = drawn.where("category <> 'context'").join(ends.withColumnRenamed("node", "s"), "s", "left_semi").join(ends.withColumnRenamed("node", "t"), "t", "left_semi")
+    strongest = between.orderBy(strength().desc(), "key", "s", "t").limit(80)
+    order = F.row_number().over(Window.orderBy(F.col("w").desc(), "key", "s", "t"))  # of 80 rows
+    strong = strongest.withColumn("w", strength()).withColumn("r", order).select("r", F.posexplode(F.array("s", "t")).alias("end", "node"))
+    parts = [
+        known.where("kind = 'context'").select("node", place(1)),
+        ranked.select("node", place(2, F.col("r"), F.coalesce("group", F.lit((1 << 63) - 1)))),
+        strong.select("node", place(3, 2 * F.col("r") + F.col("end"))),
+        known.where("kind = 'entity' AND degree >= 2").orderBy(*linked).limit(70).select("node", place(4, -F.col("degree"))),
+        known.where("kind = 'record'").orderBy(*linked).limit(most).select("node", place(5, -F.col("degree"))),
+    ]
+    chosen = parts[0]
+    for p in parts[1:]:
+        chosen = chosen.unionByName(p)
+    return chosen.groupBy("node").agg(F.min("place").alias("place")).orderBy("place").limit(most).select("node")
+
+
+def overview(drawn: DataFrame, kept: DataFrame, most: int = 420) -> DataFrame:
+    """The `most` edges shown among the nodes `kept`, of which there are few: links to contexts last, stronger first."""
+    shown = drawn.join(F.broadcast(kept.select(F.col("node").alias("s"))), "s", "left_semi").join(F.broadcast(kept.select(F.col("node").alias("t"))), "t", "left_semi")  # as many as overview_nodes gives
+    return shown.orderBy(F.col("category") == "context", strength().desc(), "key", "s", "t").limit(most)
+
+
 def capped(drawn: DataFrame, most: int) -> DataFrame:
     """The edges among the `most` best-linked nodes; equal degrees in order of the name."""
     kept = degrees(drawn).orderBy(F.col("degree").desc(), "node").limit(most).select("node")

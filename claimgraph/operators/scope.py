@@ -44,3 +44,13 @@ def deepest(placed: DataFrame, closed: DataFrame) -> DataFrame:
     ranked = placed.join(depths, "context_id", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
     best = F.max(F.struct("depth", (-F.col("context_id")).alias("least")))
     return ranked.groupBy("member_type", "member_id").agg((-best["least"]).alias("context_id"))
+
+
+def to_parents(rows: DataFrame, parts: DataFrame, kind: str = "Enliterator::Part") -> DataFrame:
+    """`rows` with a part's record replaced by the record it is a part of; a part without a parent stays itself.
+
+    `parts` has id, record_type, record_id, one row for each part.
+    """
+    held = parts.select(F.col("id").cast("string").alias("__part"), F.col("record_type").alias("__type"), F.col("record_id").cast("string").alias("__id"))
+    joined = rows.join(held, (F.col("tendable_type") == kind) & (F.col("tendable_id") == F.col("__part")), "left")
+    return joined.withColumns({"tendable_type": F.coalesce("__type", "tendable_type"), "tendable_id": F.when(F.col("__type").isNotNull(), F.col("__id")).otherwise(F.col("tendable_id"))}).select(*rows.columns)

@@ -46,3 +46,42 @@ def newest_verdicts(suggestions: DataFrame) -> DataFrame:
     """proposed_key, status, mapped_to: the latest verdict on each key."""
     newest = Window.partitionBy("proposed_key").orderBy(F.col("updated_at").desc(), F.col("id").desc())
     return suggestions.where("status <> 'pending'").withColumn("n", F.row_number().over(newest)).where("n = 1").select("proposed_key", "status", "mapped_to")
+
+
+def additions(suggestions: DataFrame) -> DataFrame:
+    """facet, additions: the approved keys of each facet in order, what its contract gains."""
+    approved = suggestions.where("status = 'approved' AND proposed_key IS NOT NULL")
+    return approved.groupBy("facet").agg(F.array_join(F.array_sort(F.collect_set("proposed_key")), ",").alias("additions"))
+
+
+def synonyms(suggestions: DataFrame) -> DataFrame:
+    """facet, proposed_key, mapped_to: the different foldings of a key onto another."""
+    return suggestions.where("status = 'mapped'").select("facet", "proposed_key", "mapped_to").distinct()
+
+
+def resolved(suggestions: DataFrame) -> DataFrame:
+    """proposed_key: keys with any verdict; for a context, pass what scope.cumulative sees from it."""
+    return suggestions.where("status <> 'pending'").select("proposed_key").distinct()
+
+
+def metrics(suggestions: DataFrame) -> DataFrame:
+    """distinct_keys, preferred_terms, variant_keys, proliferation, one_off_keys, one_off_pct, over all statuses, in one row.
+
+    Variants are counted once for each term they are folded onto; a one-off is asked
+    for by one record. Proliferation is null without preferred terms.
+    """
+    per_key = suggestions.groupBy("proposed_key").agg(
+        F.count_distinct(F.concat("tendable_type", F.lit(":"), "tendable_id")).alias("n"),
+        F.max(F.expr("status = 'approved'")).alias("approved"),
+        F.count_distinct(F.when(F.col("status") == "mapped", F.col("mapped_to"))).alias("targets"),
+    )
+    named = F.col("proposed_key").isNotNull()
+    counted = per_key.agg(
+        F.count("*").alias("distinct_keys"),
+        F.count_if(named & F.col("approved")).alias("preferred_terms"),
+        F.coalesce(F.sum(F.when(named, F.col("targets"))), F.lit(0)).cast("bigint").alias("variant_keys"),
+        F.count_if(F.col("n") == 1).alias("one_off_keys"),
+    )
+    some = lambda whole, value: F.when(F.col(whole) > 0, value)
+    rates = {"proliferation": some("preferred_terms", F.round(F.col("variant_keys") / F.col("preferred_terms"), 2)), "one_off_pct": some("distinct_keys", F.round(100.0 * F.col("one_off_keys") / F.col("distinct_keys")).cast("bigint"))}
+    return counted.withColumns(rates)

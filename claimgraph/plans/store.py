@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimgraph.functions.text import fnv1a, shortened, terms
 from claimgraph.operators import audits, catalog, claims, graph, hierarchy, scope, sections, trajectory, vectors, visits, vocabulary
 from claimgraph.plans.dealt import _RECORDS
-from claimgraph.sources import records, table
+from claimgraph.sources import records, stage, table
 from claimgraph.streaming import visits as stream
 
 RECORD = ["tendable_type", "tendable_id"]
@@ -382,6 +382,22 @@ def timeline(spark, d):
     return trajectory.timeline(_v(spark, d, *RECORD, "facet", "status", "applied", "created_at"), rows)
 
 
+@_query(
+    _TIMELINE
+    + """, x AS (SELECT visit_id, key, regexp_replace(lower(coalesce(from_value, 'null')), '\\s+', ' ', 'g') AS a, regexp_replace(lower(coalesce(to_value, 'null')), '\\s+', ' ', 'g') AS b, coalesce(from_value, 'null') = coalesce(to_value, 'null') AS same FROM df WHERE kind = 'changed'),
+    g AS (SELECT visit_id, key, unnest(list_transform(range(1, length(a)), lambda i: substr(a, i, 2))) AS g, 1 AS l, 0 AS r FROM x UNION ALL SELECT visit_id, key, unnest(list_transform(range(1, length(b)), lambda i: substr(b, i, 2))), 0, 1 FROM x),
+    di AS (SELECT visit_id, key, 2.0 * sum(least(l, r)) / sum(l + r) AS dice FROM (SELECT visit_id, key, g, sum(l) AS l, sum(r) AS r FROM g GROUP BY ALL) GROUP BY ALL),
+    ch AS (SELECT x.visit_id, count(*) AS n FROM x LEFT JOIN di ON di.visit_id = x.visit_id AND di.key IS NOT DISTINCT FROM x.key WHERE x.same OR di.dice > 0.85 GROUP BY ALL),
+    k AS (SELECT *, row_number() OVER (PARTITION BY tendable_type, tendable_id, facet ORDER BY created_at DESC, id DESC) AS back FROM done),
+    p AS (SELECT *, max(back) OVER (PARTITION BY tendable_type, tendable_id, facet) - back + 1 AS pass FROM k WHERE back <= 50)
+    SELECT pass, sum(coalesce(n_updated, 0))::BIGINT AS updated, coalesce(sum(ch.n) FILTER (pass > 1), 0)::BIGINT AS churned,
+    CASE WHEN sum(coalesce(n_updated, 0)) > 0 THEN round(coalesce(sum(ch.n) FILTER (pass > 1), 0) / sum(coalesce(n_updated, 0)), 3) END AS churn_rate FROM p LEFT JOIN ch ON ch.visit_id = p.id GROUP BY 1"""
+)
+def compounding_churn(spark, d):
+    rows = _c(spark, d, *RECORD, "key", "value", "superseded_by_id", "status", "visit_id", "created_at")
+    return trajectory.compounding(_v(spark, d, *RECORD, "facet", "status", "applied", "created_at", "n_updated"), rows)
+
+
 @_query("SELECT c.id, s.id AS next_id, c.key FROM c JOIN c s ON s.id = c.superseded_by_id AND s.key = c.key WHERE c.value IS NOT NULL AND s.value IS NOT NULL")
 def successions(spark, d):
     return claims.successions(_c(spark, d, "key", "value", "superseded_by_id")).select("id", "next_id", "key")
@@ -462,7 +478,7 @@ def completeness(spark, d):
 
 
 def _graph(spark, d):
-    held = _c(spark, d, *RECORD, "key", "value", "confidence", "superseded_by_id", "status", "visit_id", "attributed_to", "created_at")
+    held = _c(spark, d, *RECORD, "context_id", "key", "value", "confidence", "superseded_by_id", "status", "visit_id", "attributed_to", "created_at")
     return held, graph.edges(held, _m(spark, d))
 
 
@@ -484,6 +500,38 @@ def atlas_nodes(spark, d):
     return graph.nodes(_graph(spark, d)[1])
 
 
+_OVERVIEW = """, dg AS (SELECT node, degree, CASE WHEN node LIKE 'context/%' THEN 'context' WHEN node LIKE 'term/%' THEN 'entity' ELSE 'record' END AS kind FROM degree),
+    dx AS (SELECT context_id, max(depth) AS depth FROM up GROUP BY 1),
+    gr AS (SELECT tendable_type || '/' || tendable_id AS node, arg_max(told.context_id, (coalesce(depth, 0), -told.context_id)) AS grp FROM told LEFT JOIN dx ON dx.context_id = told.context_id WHERE told.context_id IS NOT NULL GROUP BY 1),
+    rc AS (SELECT dg.node, degree, grp FROM dg LEFT JOIN gr ON gr.node = dg.node WHERE kind = 'record'),
+    pg AS (SELECT least(greatest(ceil(130.0 / greatest(count(DISTINCT coalesce(grp, -1)), 1)), 18), 55) AS n FROM rc),
+    c1 AS (SELECT node, 1 AS part, node AS a, 0::BIGINT AS b, '' AS z FROM dg WHERE kind = 'context'),
+    c2 AS (SELECT node, 2 AS part, coalesce(lpad(grp::VARCHAR, 20, '0'), '~') AS a, r AS b, node AS z FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY degree DESC, node) AS r FROM rc) WHERE r <= (SELECT n FROM pg)),
+    rr AS (SELECT e.s, e.t, row_number() OVER (ORDER BY coalesce(nullif(weight, 0), 0.5) DESC, key, e.s, e.t) AS r FROM edges e JOIN dg x ON x.node = e.s AND x.kind = 'record' JOIN dg y ON y.node = e.t AND y.kind = 'record' WHERE category <> 'context'),
+    c3 AS (SELECT s AS node, 3 AS part, '' AS a, 2 * r AS b, '' AS z FROM rr WHERE r <= 80 UNION ALL SELECT t, 3, '', 2 * r + 1, '' FROM rr WHERE r <= 80),
+    c4 AS (SELECT node, 4 AS part, '' AS a, row_number() OVER (ORDER BY degree DESC, node) AS b, '' AS z FROM dg WHERE kind = 'entity' AND degree >= 2 QUALIFY row_number() OVER (ORDER BY degree DESC, node) <= 70),
+    c5 AS (SELECT node, 5 AS part, '' AS a, row_number() OVER (ORDER BY degree DESC, node) AS b, '' AS z FROM dg WHERE kind = 'record'),
+    al AS (SELECT node, min((part, a, b, z)) AS place FROM (SELECT * FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3 UNION ALL SELECT * FROM c4 UNION ALL SELECT * FROM c5) GROUP BY node),
+    kp AS (SELECT node FROM al ORDER BY place LIMIT 240)
+"""
+
+
+def _overview(spark, d):
+    held, drawn = _graph(spark, d)
+    drawn = stage(drawn).df
+    return drawn, graph.overview_nodes(drawn, graph.grouped(held, scope.closure(_contexts(spark, d))))
+
+
+@_query(_OVERVIEW + "SELECT node FROM kp")
+def atlas_overview_nodes(spark, d):
+    return _overview(spark, d)[1]
+
+
+@_query(_OVERVIEW + "SELECT s, t, key, category FROM edges WHERE s IN (SELECT node FROM kp) AND t IN (SELECT node FROM kp) ORDER BY category = 'context', coalesce(nullif(weight, 0), 0.5) DESC, key, s, t LIMIT 420")
+def atlas_overview(spark, d):
+    return graph.overview(*_overview(spark, d)).select("s", "t", "key", "category")
+
+
 @_query(", k AS (SELECT node FROM degree ORDER BY degree DESC, node LIMIT 240) SELECT s, t, key FROM edges WHERE s IN (SELECT node FROM k) AND t IN (SELECT node FROM k)")
 def atlas_degree_cap(spark, d):
     return graph.capped(_graph(spark, d)[1], 240).select("s", "t", "key")
@@ -537,6 +585,22 @@ def text_sections(spark, d):
     return sections.sections(table(spark, d, "documents"), "doc_id", "text")
 
 
+@_query(
+    """, x AS (SELECT to_json([tendable_type, tendable_id]) AS record, text, row_number() OVER (PARTITION BY tendable_type, tendable_id ORDER BY captured_at DESC NULLS LAST, doc_id DESC) AS r FROM documents WHERE text IS NOT NULL AND tendable_type IS NOT NULL AND tendable_id IS NOT NULL),
+    y AS (SELECT record, r, md5(unnest(string_split(text, chr(10)))) AS digest, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::INT AS ordinal FROM x WHERE r <= 2 AND record IN (SELECT record FROM x WHERE r = 2))
+    SELECT coalesce(b.record, n.record) AS record, coalesce(b.ordinal, n.ordinal) AS ordinal, CASE WHEN b.record IS NULL THEN 'created' WHEN n.record IS NULL THEN 'deleted' WHEN b.digest <> n.digest THEN 'updated' ELSE 'kept' END AS change
+    FROM (SELECT * FROM y WHERE r = 2) b FULL JOIN (SELECT * FROM y WHERE r = 1) n ON b.record = n.record AND b.ordinal = n.ordinal"""
+)
+def section_changes(spark, d):
+    """What the newest text of a record changes in the sections of the text before it."""
+    texts = table(spark, d, "documents").where("text IS NOT NULL AND tendable_type IS NOT NULL AND tendable_id IS NOT NULL")
+    newest = Window.partitionBy(*RECORD).orderBy(F.col("captured_at").desc_nulls_last(), F.col("doc_id").desc())
+    ranked = texts.select(*RECORD, "text", F.row_number().over(newest).alias("r"), F.to_json(F.array(*RECORD)).alias("record")).where("r <= 2")
+    before, after = (ranked.where(f"r = {r}").select("record", "text") for r in (2, 1))
+    cut = lambda rows: sections.sections(rows, "record", "text")
+    return sections.changes(cut(before), cut(after.join(before.select("record"), "record", "left_semi")), "record")
+
+
 @_query("SELECT c.id, md5(value) AS digest, CASE WHEN length(value) > 160 THEN substr(value, 1, 160) || '…' ELSE value END AS shown FROM c WHERE value IS NOT NULL")
 def value_digest(spark, d):
     rows = _c(spark, d, "value").where("value IS NOT NULL")
@@ -578,6 +642,36 @@ def facet_rollup(spark, d):
     return vocabulary.status_pivot(_suggestions(spark, d))
 
 
+@_query("SELECT facet, string_agg(DISTINCT proposed_key, ',' ORDER BY proposed_key) AS additions FROM s WHERE status = 'approved' AND proposed_key IS NOT NULL GROUP BY 1")
+def contract_additions(spark, d):
+    return vocabulary.additions(_suggestions(spark, d))
+
+
+@_query("SELECT DISTINCT facet, proposed_key, mapped_to FROM s WHERE status = 'mapped'")
+def synonyms(spark, d):
+    return vocabulary.synonyms(_suggestions(spark, d))
+
+
+@_query("SELECT DISTINCT proposed_key FROM s WHERE status <> 'pending'")
+def resolved_keys(spark, d):
+    return vocabulary.resolved(_suggestions(spark, d))
+
+
+@_query(
+    """, pk AS (SELECT proposed_key, count(DISTINCT tendable_type || ':' || tendable_id) AS n FROM s GROUP BY 1), ap AS (SELECT count(DISTINCT proposed_key) AS n FROM s WHERE status = 'approved'),
+    va AS (SELECT count(*) AS n FROM (SELECT DISTINCT mapped_to, proposed_key FROM s WHERE status = 'mapped' AND mapped_to IS NOT NULL AND proposed_key IS NOT NULL))
+    SELECT count(*) AS distinct_keys, (SELECT n FROM ap) AS preferred_terms, (SELECT n FROM va) AS variant_keys, round((SELECT n FROM va) / nullif((SELECT n FROM ap), 0), 2) AS proliferation,
+    count(*) FILTER (n = 1) AS one_off_keys, round(100.0 * count(*) FILTER (n = 1) / nullif(count(*), 0))::BIGINT AS one_off_pct FROM pk"""
+)
+def vocab_metrics(spark, d):
+    return vocabulary.metrics(_suggestions(spark, d))
+
+
+@_query("SELECT count(DISTINCT claim_id) FILTER (source = 'examiner') AS audited, count(DISTINCT claim_id) FILTER (source = 'human') AS reviewed FROM a")
+def review_counts(spark, d):
+    return audits.reviewed(_a(spark, d))
+
+
 @_query("SELECT proposed_key, status, mapped_to FROM (SELECT *, row_number() OVER (PARTITION BY proposed_key ORDER BY updated_at DESC, id DESC) AS r FROM s WHERE status <> 'pending') WHERE r = 1")
 def newest_verdicts(spark, d):
     return vocabulary.newest_verdicts(_suggestions(spark, d))
