@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from claimgraph.llm.rules import RuleList, induce
 
-# Common words of the collection's languages; those of CLAUSE need a clause around them, the others also stand in titles and list items.
+# Common words of the collection's languages that are written with spaces; those of CLAUSE need a clause around them, the others also stand in titles and list items.
 CLAUSE = """
 and is was were be been are has have had not but which who it they he she we you this these would could will may can did does their his her no only if when than then there because although
 et est sont ont été avait mais qui que pas ne nous il elle ils elles leur ce cette si car on
@@ -31,7 +31,19 @@ o os as do da dos das em um uma ao mais por
 der die das den dem des ein eine einen zu von mit für auf noch nach vor
 в на с из у после этого от для
 """.split()
+# The same of Chinese and Japanese, matched within runs of Han and kana.
+RUN_CLAUSE = """
+是 了 没 不 也 就 都 但 们 他 她 它 我 你 这 那 谁 很 已 会 能 着 过 被 把 因为 如果 所以
+は が を た だ です ます した ない から ので なぜ しかし また いる ある
+""".split()
+RUN_PHRASE = """
+的 在 和 与 及 之 于 从 对 为 以
+の に と で も へ や まで より など
+""".split()
 WORD = r"\p{L}[\p{L}\p{M}'’]*"
+#: Runs of Han and kana have no spaces: each of their letters is a word, a common one if it stands in one of the words above.
+RUN = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー"
+RUN_LETTER, RUN_BREAK = rf"[{RUN}&&\p{{L}}]+", rf"[{RUN}]+"
 SPACE = r"[\s 　​﻿]+"
 HAN = r"぀-ヿ㐀-䶿一-鿿"
 # Patterns start with what is rare and match one character each, so that a count is a difference of lengths.
@@ -56,6 +68,10 @@ def _without(text: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(text, pattern, ""))
 
 
+def _one_of(words: list[str]) -> str:
+    return "|".join(sorted(dict.fromkeys(words), key=lambda w: (-len(w), w)))
+
+
 def units(rows: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
     """key, keep..., lines (that were joined), and the features of each unit that is not blank."""
     body = F.col(text).cast("string")
@@ -65,6 +81,9 @@ def units(rows: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
     lines = 1 + F.length("u") - F.length(F.replace("u", F.lit(WRAPPED)))
     u, low = F.col("u"), F.lower("u")
     size = F.length("u")
+    # Most units are spared the look for runs by their bytes, the others by their letters.
+    runs = (F.octet_length("u") > size) & u.rlike(f"[{RUN}]")
+    in_runs = lambda pattern: F.when(runs, size - _without(u, pattern)).otherwise(0)
     counted = cut.select(
         "key",
         *keep,
@@ -73,7 +92,10 @@ def units(rows: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
     ).select(
         "*",
         _without(u, SPACE).alias("chars"),
-        F.regexp_extract_all(low, F.lit(f"({WORD})")).alias("w"),
+        F.regexp_extract_all(F.when(runs, F.regexp_replace(low, RUN_BREAK, " ")).otherwise(low), F.lit(f"({WORD})")).alias("w"),
+        in_runs(RUN_LETTER).alias("n_run"),
+        in_runs(_one_of(RUN_CLAUSE + RUN_PHRASE)).alias("n_run_common"),
+        in_runs(_one_of(RUN_CLAUSE)).alias("n_run_clause"),
         (size - _without(u, r"[\p{L}\p{M}]+")).alias("n_letters"),
         (size - _without(u, r"\p{N}+")).alias("n_digits"),
         (size - _without(u, UPPER)).alias("n_upper"),
@@ -86,8 +108,12 @@ def units(rows: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
     ).where("chars > 0")
     everyday, clause = [*dict.fromkeys(CLAUSE + PHRASE)], [*dict.fromkeys(CLAUSE)]
     known = counted.withColumn("c", F.filter("w", lambda w: w.isin(everyday)))
-    sizes = {"words": F.size("w"), "n_common": F.size("c"), "n_clause": F.size(F.filter("c", lambda w: w.isin(clause)))}
-    numbered = known.withColumns(sizes).drop("w", "c", "u")
+    sizes = {
+        "words": F.size("w") + F.col("n_run"),
+        "n_common": F.size("c") + F.col("n_run_common"),
+        "n_clause": F.size(F.filter("c", lambda w: w.isin(clause))) + F.col("n_run_clause"),
+    }
+    numbered = known.withColumns(sizes).drop("w", "c", "u", "n_run", "n_run_common", "n_run_clause")
     share = lambda c, of="chars": F.col(c) / F.greatest(F.col(of), F.lit(1))
     return numbered.withColumns(
         {
@@ -135,7 +161,8 @@ def statistics(documents: DataFrame, key: str, text: str, rules: RuleList) -> Da
 
     `form` is the first label of `rules` (prose) if at least half of the characters
     (white space not counted) stand in units of that label, else the other label that
-    holds most (the first among equals); 'blank' for null, empty and blank texts,
+    holds most (the first among equals). A word is a run of letters, in Han and kana
+    each letter, as in `RUN`. 'blank' for null, empty and blank texts,
     whose shares are null and counts 0. Keys should be unique; rows with the same
     key are counted together. A text's units are added up where they are read.
     """

@@ -247,6 +247,16 @@ def test_statistics(spark):
     assert quality.statistics(frame.limit(0), "doc", "body", learnt).count() == 0
 
 
+def test_words_of_han_and_kana(spark):
+    """Each letter of a run is a word, whatever stands beside it; letters of other scripts keep their words."""
+    texts = [(1, "但是没有人知道。"), (2, "Kebridの船は、古い。"), (3, "データ・ベース 佐々木"), (4, "the café of 的"), (5, "the café of")]
+    frame = spark.createDataFrame(texts, "doc long, body string")
+    got = {r.doc: r for r in quality.statistics(frame, "doc", "body", rules.RuleList((), "prose", ("prose",))).collect()}
+    assert {i: r.words for i, r in got.items()} == {1: 7, 2: 6, 3: 9, 4: 4, 5: 3}
+    assert got[1].mean_word_length == 1.0 and got[2].mean_word_length == 11 / 6
+    assert {i: round(r.common_words * r.words) for i, r in got.items()} == {1: 3, 2: 2, 3: 0, 4: 3, 5: 2}
+
+
 def test_forms_on_held_out_labels(spark):
     """Learnt on half of the labels, right on at least nine tenths of the others; some of those are wrong themselves."""
     data = "/root/testdata/sf0.1"
