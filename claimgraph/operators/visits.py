@@ -105,6 +105,29 @@ def frontier(memberships: DataFrame, visits: DataFrame, facet: str, retry_after:
     return left
 
 
+def lanes(memberships: DataFrame, facets: DataFrame, hosts: DataFrame) -> DataFrame:
+    """facet, context_id, member_type, member_id, created_at: what each lane is to read: the members of its context, in the root lane (null) all host records, which have no date.
+
+    `memberships` and `hosts` (record) have no repeats; `facets` has one row for each facet.
+    """
+    root = hosts.select(F.lit(None).cast("bigint").alias("context_id"), F.col("tendable_type").alias("member_type"), F.col("tendable_id").alias("member_id"), F.lit(None).cast("timestamp_ntz").alias("created_at"))
+    return memberships.select("context_id", "member_type", "member_id", "created_at").unionByName(root).join(facets.select("facet"), F.lit(True))
+
+
+def frontier_lanes(wanted: DataFrame, visits: DataFrame, retry_after: datetime | None = None) -> DataFrame:
+    """The rows of `lanes` never read; with `retry_after`, without those that failed in their lane later than that.
+
+    One left anti join with facet in the key for all lanes; a null context is the
+    root lane, which only its own visits clear.
+    """
+    key = ["facet", "context_id", *RECORD]
+    gone = applied(visits).select(*key)
+    if retry_after is not None:
+        gone = gone.unionByName(since(visits.where("status = 'failed'"), retry_after, inclusive=False).select(*key))
+    same = F.expr("m.facet <=> v.facet AND m.context_id <=> v.context_id AND m.member_type = v.tendable_type AND m.member_id = v.tendable_id")
+    return wanted.alias("m").join(gone.alias("v"), same, "left_anti")
+
+
 def neighborhood(visits: DataFrame, threshold: int, cooldown: datetime) -> DataFrame:
     """context_id, facet, record, behind: records with at least `threshold` visits of their lane after their own last, which is older than `cooldown`.
 

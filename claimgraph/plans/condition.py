@@ -181,11 +181,11 @@ def recent_activity(spark, d):
 
 
 def budget_plan(spark, d):
-    """What 200,000 tokens afford of the frontier, shared fairly among contexts; dealt in order, so it has no short SQL."""
-    log = _v(spark, d, *RECORD, "facet", "context_id", "status", "applied", "created_at", "tokens_total")
-    cost = visits.estimates(log).where(F.col("facet") == store.FACET).select(F.col("est").alias("cost"))
-    waiting = visits.frontier(_m(spark, d), log, store.FACET).join(F.broadcast(cost), F.lit(True))  # one row
-    return planner.planned(waiting, "context_id", "cost", [F.col("created_at"), F.col("member_type"), F.col("member_id")], 200_000)
+    """What 200,000 tokens afford of the frontier, shared fairly among all lanes (facet by context, the root included); dealt in order, so it has no short SQL."""
+    wanted, log = store._lanes(spark, d)
+    cost = visits.estimates(_v(spark, d, "facet", "status", "applied", "created_at", "tokens_total"))
+    waiting = visits.frontier_lanes(wanted, log).alias("w").join(cost.alias("c"), F.col("w.facet").eqNullSafe(F.col("c.facet"))).select("w.*", F.col("c.est").alias("cost"), F.struct("w.facet", "w.context_id").alias("lane"))
+    return planner.planned(waiting, "lane", "cost", [F.col("created_at"), F.col("member_type"), F.col("member_id")], 200_000).drop("lane")
 
 
 store.QUERIES["budget_plan"] = budget_plan

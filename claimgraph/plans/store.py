@@ -228,6 +228,38 @@ def frontier_count(spark, d):
     return left.groupBy("context_id").agg(F.count("*").alias("waiting"))
 
 
+#: The host records are those that any table names; the tables of the hosts themselves are not among the data.
+_LANES = """, ho AS (SELECT tendable_type, tendable_id FROM v UNION SELECT tendable_type, tendable_id FROM c UNION SELECT tendable_type, tendable_id FROM documents UNION SELECT member_type, member_id FROM m),
+    wa AS (SELECT f.facet, w.* FROM (SELECT DISTINCT facet FROM v) f, (SELECT context_id, member_type, member_id, created_at FROM m UNION ALL SELECT NULL, tendable_type, tendable_id, NULL FROM ho WHERE tendable_type NOT LIKE '%::%' AND tendable_id IS NOT NULL) w),
+    fr AS (SELECT * FROM wa WHERE NOT EXISTS (SELECT 1 FROM done v WHERE v.facet IS NOT DISTINCT FROM wa.facet AND v.context_id IS NOT DISTINCT FROM wa.context_id AND v.tendable_type = wa.member_type AND v.tendable_id = wa.member_id))
+"""
+
+
+def _lanes(spark, d):
+    log = _v(spark, d, *RECORD, "facet", "context_id", "status", "applied", "created_at")
+    members = _m(spark, d)
+    named = [log, _c(spark, d, *RECORD), table(spark, d, "documents"), members.select(F.col("member_type").alias("tendable_type"), F.col("member_id").alias("tendable_id"))]
+    hosts = named[0].select(*RECORD)
+    for rows in named[1:]:
+        hosts = hosts.unionByName(rows.select(*RECORD))
+    hosts = hosts.where("tendable_type NOT LIKE '%::%' AND tendable_id IS NOT NULL").distinct()
+    return visits.lanes(members, log.select("facet").distinct(), hosts), log
+
+
+@_query(
+    _LANES
+    + """SELECT * FROM fr WHERE NOT EXISTS (SELECT 1 FROM v f WHERE f.status = 'failed' AND f.created_at > TIMESTAMP '2031-06-01'
+    AND f.facet IS NOT DISTINCT FROM fr.facet AND f.context_id IS NOT DISTINCT FROM fr.context_id AND f.tendable_type = fr.member_type AND f.tendable_id = fr.member_id)"""
+)
+def frontier_lanes_fetch(spark, d):
+    return visits.frontier_lanes(*_lanes(spark, d), MONTH)
+
+
+@_query(_LANES + "SELECT facet, context_id, count(*) AS waiting FROM fr GROUP BY 1, 2")
+def frontier_lanes_count(spark, d):
+    return visits.frontier_lanes(*_lanes(spark, d)).groupBy("facet", "context_id").agg(F.count("*").alias("waiting"))
+
+
 @_query(
     """, l AS (SELECT *, row_number() OVER (PARTITION BY context_id, facet ORDER BY created_at DESC, id DESC) - 1 AS later FROM done WHERE context_id IS NOT NULL AND created_at IS NOT NULL)
     SELECT context_id, facet, tendable_type, tendable_id, min(later)::BIGINT AS behind FROM l GROUP BY 1, 2, 3, 4 HAVING min(later) >= 20 AND max(created_at) < TIMESTAMP '2031-06-01'"""

@@ -1,6 +1,6 @@
 from datetime import datetime
 
-from claimgraph.operators import trajectory
+from claimgraph.operators import trajectory, visits as log
 
 T = lambda n: datetime(2030, 1, n)
 
@@ -34,3 +34,15 @@ def test_churn_of_passes(spark):
     claims = claims.where("id NOT IN (3)").replace({"draft": "asserted"})
     got = {r["pass"]: (r.updated, r.churned, r.churn_rate) for r in trajectory.compounding(visits, claims).collect()}
     assert got == {1: (4, 0, 0.0), 2: (2, 1, 0.5), 3: (2, 1, 0.5)}
+
+
+def test_frontier_of_every_lane(spark):
+    members = spark.createDataFrame([(7, "W", "1", T(1)), (7, "W", "2", T(1))], "context_id long, member_type string, member_id string, created_at timestamp_ntz")
+    hosts = spark.createDataFrame([("W", "1"), ("W", "3")], "tendable_type string, tendable_id string")
+    facets = spark.createDataFrame([("f",), ("g",)], "facet string")
+    rows = [("W", "1", "f", 7, "succeeded", True), ("W", "1", "g", None, "succeeded", True), ("W", "3", "f", None, "failed", False)]
+    v = spark.createDataFrame([(*r, T(5)) for r in rows], "tendable_type string, tendable_id string, facet string, context_id long, status string, applied boolean, created_at timestamp_ntz")
+    wanted = log.lanes(members, facets, hosts)
+    left = lambda *after: {(r.facet, r.context_id, r.member_id) for r in log.frontier_lanes(wanted, v, *after).collect()}
+    assert left() == {("f", 7, "2"), ("g", 7, "1"), ("g", 7, "2"), ("f", None, "1"), ("f", None, "3"), ("g", None, "3")}
+    assert left(T(4)) == left() - {("f", None, "3")} and left(T(5)) == left()
