@@ -49,6 +49,8 @@ HAN = r"぀-ヿ㐀-䶿一-鿿"
 # Patterns start with what is rare and match one character each, so that a count is a difference of lengths.
 #: A line break inside a sentence: after a letter or comma, before a small letter.
 WRAP = r"\r?\n(?=\p{Ll})(?<=[\p{L},][ \t]{0,8}\r?\n)"
+#: The same after more blanks than WRAP looks back over; looked for only in texts that have as many.
+MANY_BLANKS, WRAP_FAR = r"[ \t]{9}\r?\n", r"([\p{L},][ \t]{9,})\r?\n(?=\p{Ll})"
 WRAPPED = "\u2063"
 UNIT = r"\r?\n|\f"
 END = rf"[.!?。！？…](?<=[\p{{L}}\p{{N}})\]\"”»’%].)(?=[.!?。！？…]*[\"”»)’」]*(?:\s|$|[{HAN}]))"
@@ -56,6 +58,8 @@ MARK = r"^[ \t]*(?:[-*•·–—◦▪+>]|\(?\p{N}{1,3}[.):]|\(?[a-z][.)]|\p{N}
 SEPARATOR = r"[|;·•\t=/]| (?= )(?<![ ].)"
 UPPER = r"\p{Lu}(?<![\p{L}\p{M}].)"
 FULL = r"[.!?。！？…][\"”»)’」]*\s*$"
+#: An end of a unit that leaves open what stands before it.
+TAIL = r"\A[\"”»)’」\s\u0085\u2028\u2029]{12}\z"
 #: The comparisons that each feature may be used in: what speaks for prose, first of all.
 SIDES = {"ends": ">", "common": ">", "clause": ">", "letters": ">", "full_stop": ">", "chars": ">", "seps": "<=", "marked": "<=", "symbols": "<=", "digits": "<=", "odd": "<=", "word_length": "<="}
 FEATURES = ["letters", "digits", "symbols", "word_length", "upper", "common", "clause", "ends", "span", "seps", "marked", "odd", "han", "full_stop", "chars"]
@@ -76,11 +80,12 @@ def units(rows: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
     """key, keep..., lines (that were joined), and the features of each unit that is not blank."""
     body = F.col(text).cast("string")
     # Each unit counts its own lines: a wrapped one has its break as a mark instead.
-    joined = F.split(F.regexp_replace(body, WRAP, f" {WRAPPED}"), UNIT)
+    near = F.when(body.rlike(MANY_BLANKS), F.regexp_replace(body, WRAP_FAR, f"$1 {WRAPPED}")).otherwise(body)
+    joined = F.split(F.regexp_replace(near, WRAP, f" {WRAPPED}"), UNIT)
     cut = rows.select(F.col(key).alias("key"), *keep, F.explode(joined).alias("u"))
     lines = 1 + F.length("u") - F.length(F.replace("u", F.lit(WRAPPED)))
     u, low = F.col("u"), F.lower("u")
-    size = F.length("u")
+    size, end = F.length("u"), F.right(u, F.lit(12))
     # Most units are spared the look for runs by their bytes, the others by their letters.
     runs = (F.octet_length("u") > size) & u.rlike(f"[{RUN}]")
     in_runs = lambda pattern: F.when(runs, size - _without(u, pattern)).otherwise(0)
@@ -104,7 +109,7 @@ def units(rows: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
         (size - _without(u, r"[\u0080-¿�]+")).alias("n_odd"),
         (size - _without(u, f"[{HAN}]+")).alias("n_han"),
         u.rlike(MARK).cast("double").alias("marked"),
-        F.right(u, F.lit(12)).rlike(FULL).cast("double").alias("full_stop"),
+        F.when(end.rlike(TAIL), u.rlike(FULL)).otherwise(end.rlike(FULL)).cast("double").alias("full_stop"),
     ).where("chars > 0")
     everyday, clause = [*dict.fromkeys(CLAUSE + PHRASE)], [*dict.fromkeys(CLAUSE)]
     known = counted.withColumn("c", F.filter("w", lambda w: w.isin(everyday)))

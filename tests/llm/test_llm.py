@@ -257,6 +257,15 @@ def test_words_of_han_and_kana(spark):
     assert {i: round(r.common_words * r.words) for i, r in got.items()} == {1: 3, 2: 2, 3: 0, 4: 3, 5: 2}
 
 
+def test_ends_and_wraps_behind_many_blanks(spark):
+    texts = [(1, "It ended." + " " * 40), (2, "It ended." + "”)" * 20), (3, "It did not" + " " * 40), (4, "a line that" + " " * 30 + "\nwent on" + "\t" * 9 + "\r\nhere."), (5, "A line" + " " * 30 + "\nNew.")]
+    frame = spark.createDataFrame(texts, "doc long, body string")
+    got = {r.doc: r.punctuated_lines for r in quality.statistics(frame, "doc", "body", rules.RuleList((), "prose", ("prose",))).collect()}
+    assert got == {1: 1.0, 2: 1.0, 3: 0.0, 4: pytest.approx(1 / 3), 5: 0.5}
+    joined = {r.key: r.lines for r in quality.units(frame.where("doc = 4"), "doc", "body").collect()}
+    assert joined == {4: 3}
+
+
 def test_forms_on_held_out_labels(spark):
     """Learnt on half of the labels, right on at least nine tenths of the others; some of those are wrong themselves."""
     data = "/root/testdata/sf0.1"
