@@ -58,11 +58,14 @@ def _heads(keys: DataFrame) -> DataFrame:
     best = F.struct("n", "key")
     heads = shared.groupBy("form").agg(F.max(best).alias("best"), F.count("*").alias("sharers")).where("sharers > 1")
     ours = shared.alias("s").join(heads.alias("h"), F.expr("s.form = h.form")).groupBy("s.key").agg(F.max("h.best")["key"].alias("head"))
-    moved = stage(ours.where("key <> head")).df
-    for _ in range(2):  # a slip of a slip
-        step = moved.alias("x").join(moved.alias("y"), F.expr("x.head = y.key"), "left")
-        moved = step.select("x.key", F.coalesce("y.head", "x.head").alias("head"))
-    return moved
+    # Heads grow, so they end; each round doubles the slips that are followed.
+    moved = stage(ours.where("key <> head").withColumn("further", F.lit(True)), "further")
+    while moved.held:
+        step = moved.df.alias("x").join(moved.df.alias("y"), F.expr("x.head = y.key"), "left")
+        following = stage(step.select("x.key", F.coalesce("y.head", "x.head").alias("head"), F.col("y.head").isNotNull().alias("further")), "further")
+        moved.drop()
+        moved = following
+    return moved.df.drop("further")
 
 
 def _general(parts: list[str], own: bool):

@@ -184,6 +184,13 @@ def test_doubtful_names_stand_for_none(spark):
     assert names.link(spark.createDataFrame([], "name string, n long"), "name", "n").count() == 0
 
 
+def test_slips_are_followed_to_their_end(spark):
+    chain = [(f"k{i}", 10 + i, [f"f{i}", f"f{i + 1}"]) for i in range(12)]
+    got = {r.key: r.head for r in names._heads(spark.createDataFrame(chain, "key string, n long, forms array<string>")).collect()}
+    assert got == {f"k{i}": "k11" for i in range(11)}
+    assert names._heads(spark.createDataFrame([("a", 1, ["x"])], "key string, n long, forms array<string>")).count() == 0
+
+
 def test_slips_share_a_form():
     for a, b in (("kitten", "kiten"), ("kitten", "kittten"), ("kitten", "kittne"), ("kitten", "kotten"), ("x", "x")):
         assert name_rules.slips(a) & name_rules.slips(b)
