@@ -1,104 +1,132 @@
 """Spellings of names that stand for one person or organisation.
 
-Each name is rewritten to every canonical form that its rules allow (nickname to
-full name, names to initials, parts left out, legal forms written out, parts in
-one order, and one slip of the pen); the forms are exploded and meet by equality.
-A form speaks for an entity only as far as it is rare: one that several entities
-could have written links nothing.
+Each name is rewritten to its canonical key (short forms to full names, legal forms
+and words written out, parts in one order), and each key to every writing that its
+bearer may use and to every form it shares with misread ones. The forms are exploded
+and meet by equality, and a form counts by how rare it is: one that several bearers
+could have written links nothing, and a misreading is one only where its words are
+rare beside those it was read from.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimgraph.llm.name_rules import parse, seen, slips
+from claimgraph.llm.name_rules import cut_down, key_of, misread_forms
 from claimgraph.sources import stage
 
 _SEP = "\x1f"
-
-
-def rewritten(name: str) -> tuple[str | None, str, list[str]]:
-    """The canonical key of a name (null if it stands for several or none), its generation, and the forms it shares with spellings one slip away."""
-    p = parse(name)
-    if p["kind"] == "several" or p["kind"] == "person" and not p["given"]:
-        return None, "", []
-    if p["kind"] == "person":
-        a, b, c, d = seen(p["surname"]), p["given"], p["middle"], p["generation"]
-    elif p["subject"]:
-        a, b, c, d = seen(p["place"]), f"{p['body']} {seen(p['subject'])}", p["letters"], ""
-    else:
-        a, b, c, d = seen(p["place"]), "", p["letters"], ""
-    if not a:
-        return None, "", []
-    # A slip may make or break a letter group, so the plain spelling slips too.
-    kind, forms = p["kind"][0], []
-    plain_a, plain_b = (p["surname"], p["given"]) if p["kind"] == "person" else (p["place"], f"{p['body']} {p['subject']}" if p["subject"] else "")
-    if len(a) > 3:
-        forms += [_SEP.join((kind, "a", x, b, c if kind == "p" or not b else "")) for x in slips(a) | slips(plain_a)]
-    if len(b) > 3:
-        forms += [_SEP.join((kind, "b", a, x, c if kind == "p" else "")) for x in slips(b) | slips(plain_b)]
-    return _SEP.join((kind, a, b, c)), d, forms
+#: A word is misread from one that at least WORN times as many keys bear; or, borne by no other key or from one OFTEN times as much borne, from one whose key is written in several ways and OFTEN times as often.
+WORN, OFTEN = 4, 2
+#: Bearers of a word are joined in so many parts, so that a given name that a third of all keys bear is several tasks' work.
+SALTS = 16
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        names = batch.column(0).to_pylist()
-        made = [rewritten(n) for n in names]
-        columns = [batch.column(0), batch.column(1), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.string()), pa.array([m[2] for m in made], pa.list_(pa.string()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["name", "n", "key", "generation", "forms"])
+        made = [key_of(n) for n in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.string())], names=["name", "n", "key", "generation"])
 
 
-def _heads(keys: DataFrame) -> DataFrame:
-    """key, head: the most frequent key among those that share a form, followed on; a key without one is its own."""
-    shared = keys.select("key", "n", F.explode("forms").alias("form"))
-    best = F.struct("n", "key")
-    heads = shared.groupBy("form").agg(F.max(best).alias("best"), F.count("*").alias("sharers")).where("sharers > 1")
-    ours = shared.alias("s").join(heads.alias("h"), F.expr("s.form = h.form")).groupBy("s.key").agg(F.max("h.best")["key"].alias("head"))
-    # Heads grow, so they end; each round doubles the slips that are followed.
-    moved = stage(ours.where("key <> head").withColumn("further", F.lit(True)), "further")
-    while moved.held:
-        step = moved.df.alias("x").join(moved.df.alias("y"), F.expr("x.head = y.key"), "left")
+def _listed(of: Callable[[str], list[str]]):
+    """Adds the list of forms that `of` gives for the first column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            forms = pa.array([of(k) for k in batch.column(0).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, forms], names=[*batch.schema.names, "forms"])
+
+    return run
+
+
+def _with_forms(rows: DataFrame, of: Callable[[str], list[str]]) -> DataFrame:
+    return rows.mapInArrow(_listed(of), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", forms array<string>")
+
+
+def _borne(keys: DataFrame) -> DataFrame:
+    """`keys` with `words`: the surname and given name, or the words of the place and body, of each key with the number of keys that bear each word; none bears a word with a digit in it."""
+    part = F.split("key", _SEP)
+    kind, first, second = (F.get(part, F.lit(i)) for i in range(3))
+    worded = F.array_distinct(F.concat(F.array(first), F.when(kind == "b", F.split(second, " ")).otherwise(F.array(second))))
+    spread = keys.select("key", kind.alias("kind"), F.explode(worded).alias("word"), F.pmod(F.xxhash64("key"), F.lit(SALTS)).alias("salt"))
+    bearers = spread.groupBy("kind", "word").agg(F.when(F.col("word").rlike("[0-9]"), 0).otherwise(F.count("*")).alias("bearers")).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
+    counted = spread.join(bearers, ["kind", "word", "salt"]).groupBy("key").agg(F.collect_set(F.struct("word", "bearers")).alias("words"))
+    return keys.join(counted, "key")
+
+
+def _misreads() -> Column:
+    """Whether the key of a row is a misreading of `best`: written in one way only, or in fewer than the other, with words that are rare beside the other's, and not much more often; or seldom, beside one that is written in several ways."""
+    theirs = F.expr("filter(best.words, x -> NOT exists(words, y -> y.word = x.word))")
+    ours = F.expr("filter(words, x -> NOT exists(best.words, y -> y.word = x.word))")
+    most = F.coalesce(F.array_max(F.transform(ours, lambda x: x.bearers)), F.lit(0))
+    least = F.coalesce(F.array_min(F.transform(theirs, lambda x: x.bearers)), F.lit(0))
+    worn = (least >= WORN * most) & (F.col("n") * most <= F.col("best.n") * least)
+    varied = ((most <= 1) | (least >= OFTEN * most)) & (F.col("best.ways") > 1) & (F.col("best.n") >= OFTEN * F.col("n"))
+    return (F.col("key") != F.col("best.key")) & ((F.col("ways") == 1) | (F.col("ways") < F.col("best.ways"))) & (worn | varied)
+
+
+def _followed(moved: DataFrame) -> DataFrame:
+    """key, head: links to heads followed to their end; each round doubles the links that are followed. Heads rank higher, so they end."""
+    now = stage(moved.withColumn("further", F.lit(True)), "further")
+    while now.held:
+        step = now.df.alias("x").join(now.df.alias("y"), F.expr("x.head = y.key"), "left")
         following = stage(step.select("x.key", F.coalesce("y.head", "x.head").alias("head"), F.col("y.head").isNotNull().alias("further")), "further")
-        moved.drop()
-        moved = following
-    return moved.df.drop("further")
+        now.drop()
+        now = following
+    return now.df.drop("further")
+
 
+def _heads(keys: DataFrame) -> DataFrame:
+    """key, head: the key that a misread key was read from, followed on; a key without one, or with several that end apart, has no row.
 
-def _general(parts: list[str], own: bool):
-    """The canonical forms that an entity may be cut down to: given name or its initial, with or without middle letter and generation; an organisation's place and letters. `own` includes the entity's own form."""
-    kind, a, b, c, d = (F.col(x) for x in parts)
-    join = lambda *cs: F.concat_ws(_SEP, *cs)
-    none = F.lit("")
-    person = F.flatten(F.array(*(F.array(*(join(kind, a, g, m, s) for m in (c, none) for s in (d, none))) for g in (b, F.substring(b, 1, 1)))))
-    body = F.array(join(kind, a, b, c, d), join(kind, a, none, c, d))
-    forms = F.array_distinct(F.when(kind == "p", person).otherwise(body))
-    return forms if own else F.array_except(forms, F.array(join(kind, a, b, c, d)))
+    `keys` has key, n (its occurrences), ways (its spellings), words and forms. Of the
+    keys that share a form, the one whose words most keys bear may be the head, and
+    only if all others are misreadings of it.
+    """
+    rank = [F.array_min(F.transform("words", lambda w: w.bearers)).alias("borne"), F.col("n"), F.col("key")]
+    shared = keys.select("key", "n", "ways", "words", F.struct(*rank).alias("rank"), F.explode("forms").alias("form")).repartition("form")
+    best = shared.groupBy("form").agg(F.max(F.struct("rank", "key", "n", "ways", "words")).alias("best"), F.count("*").alias("sharers")).where("sharers > 1")
+    judged = shared.join(best.select("form", "best"), "form").select("form", "key", "rank", "best.rank", _misreads().alias("misread")).toDF("form", "key", "own", "rank", "misread")
+    firm = judged.groupBy("form").agg(F.count_if(~F.col("misread")).alias("firm")).where("firm = 1").select("form")
+    links = stage(judged.where("misread").join(firm, "form", "left_semi").select("key", F.col("rank").alias("head")).distinct())
+    one = links.df.groupBy("key").agg(F.max("head")["key"].alias("head"))
+    ends = _followed(one)
+    through = links.df.select("key", F.col("head.key").alias("via")).alias("l").join(ends.alias("e"), F.expr("l.via = e.key"), "left")
+    apart = stage(through.select("l.key", F.coalesce("e.head", "l.via").alias("end")).groupBy("key").agg(F.min("end").alias("a"), F.max("end").alias("b")).where("a <> b").select("key"))
+    if apart.rows:
+        ends = _followed(one.join(apart.df, "key", "left_anti"))
+    return ends
+
+
+def _writings(own: str) -> list[str]:
+    """Every other key and generation that the bearer of `own` may be written by."""
+    key, generation = own.rsplit(_SEP, 1)
+    return sorted({f"{k}{_SEP}{g}" for k in (key, *cut_down(key)) for g in (generation, "")} - {own})
 
 
 def link(names: DataFrame, name: str, weight: str) -> DataFrame:
     """name, entity: each distinct name and the entity it stands for, or null if it stands for none or may stand for several.
 
     `names` has one row for each distinct name with the number of times it occurs.
-    Null names are left out. Names are parsed once; then only equi-joins and
-    combining aggregates run on their forms, about twenty for each distinct key.
+    Null names are left out. Names are parsed once, forms made once for each distinct
+    key; then only equi-joins and combining aggregates run. Forms follow from keys, so
+    the result does not depend on the layout of the rows.
     """
     rows = names.where(F.col(name).isNotNull()).select(F.col(name).alias("name"), F.col(weight).cast("long").alias("n"))
-    parsed = stage(rows.repartition("name").mapInArrow(_rewrite, "name string, n bigint, key string, generation string, forms array<string>"))
+    parsed = stage(rows.repartition("name").mapInArrow(_rewrite, "name string, n bigint, key string, generation string"))
     keyed = parsed.df.where("key IS NOT NULL")
-    keys = keyed.groupBy("key").agg(F.sum("n").alias("n"), F.first("forms").alias("forms"))
-    heads = _heads(keys)
-    now = keyed.alias("k").join(heads.alias("h"), F.expr("k.key = h.key"), "left").select("k.name", F.split(F.coalesce("h.head", "k.key"), _SEP).alias("p"), "k.generation")
-    fields = ["kind", "a", "b", "c", "d"]
-    split = now.select("name", *(F.get("p", F.lit(i)).alias(f) for i, f in enumerate(fields[:4])), F.col("generation").alias("d"))
-    own = stage(split.withColumn("own", F.concat_ws(_SEP, *fields))).df
-    tuples = own.select(*fields, "own").distinct()
-    cut_down = tuples.select(F.explode(_general(fields, own=False)).alias("own")).distinct()
-    entities = tuples.join(cut_down, "own", "left_anti")
-    forms = entities.select(F.explode(_general(fields, own=True)).alias("form"), F.col("own").alias("entity"))
+    keys = _borne(keyed.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("ways")))
+    heads = _heads(stage(_with_forms(keys, misread_forms)).df)
+    now = keyed.alias("k").join(heads.alias("h"), F.expr("k.key = h.key"), "left").select("k.name", F.concat_ws(_SEP, F.coalesce("h.head", "k.key"), "k.generation").alias("own"))
+    own = stage(now).df
+    written = stage(_with_forms(own.select("own").distinct(), _writings)).df
+    others = written.select(F.explode("forms").alias("own")).distinct()
+    entities = written.join(others, "own", "left_anti")
+    forms = entities.select(F.explode(F.array_append("forms", F.col("own"))).alias("form"), F.col("own").alias("entity"))
     rare = forms.groupBy("form").agg(F.count("*").alias("bearers"), F.min("entity").alias("entity")).where("bearers = 1")
     found = own.alias("o").join(rare.alias("r"), F.expr("o.own = r.form"), "left").select("o.name", "r.entity")
     rest = parsed.df.where("key IS NULL").select("name", F.lit(None).cast("string").alias("entity"))

@@ -162,8 +162,8 @@ SAME = [
 BODY = ["Kemud Association of Ferry Planning", "The Kemud Assn. of Ferry Plng", "Association of Ferry Planning, Kemud", "Ferry Planning, Association of (Kemud)", "Kemud AFP", "Kemud Association of Ferry Planning (AFP)", "KEMUD ASSOCIATION OF FERRY PLANNING", "Kemmud Association of Ferry Planning"]
 
 
-def groups(spark, spellings):
-    frame = spark.createDataFrame([(n, 5 if i in (0,) else 1, "x") for i, n in enumerate(spellings)], "name string, n long, entity string")
+def groups(spark, spellings, n=lambda i: 5 if i == 0 else 1):
+    frame = spark.createDataFrame([(x, n(i), "x") for i, x in enumerate(spellings)], "name string, n long, entity string")
     return {r.name: r.entity for r in names.link(frame, "name", "n").collect()}
 
 
@@ -175,6 +175,63 @@ def test_spellings_come_together(spark):
     assert len({got[n] for n in [SAME[0], BODY[0], *apart]}) == 5
 
 
+TOGETHER = [
+    ["Fred Smith", "Frederick Smith", "Smith, Fred"], ["Bert Jones", "Albert Jones"], ["Pat Reilly", "Patrick Reilly", "REILLY, PATRICK"], ["Don Brown", "Donald Brown"], ["Kate Moss", "Katherine Moss"],
+    ["Acme Inc.", "Acme Incorporated", "ACME, INC"], ["Widget GmbH", "Widget Gmbh"], ["Oxford University", "University of Oxford", "The University of Oxford"], ["North Harbour Planning Board", "North Board of Harbour Planning"],
+    ["Jan van der Berg", "van der Berg, Jan", "Berg, Jan van der"], ["Maria de la Cruz", "de la Cruz, Maria", "DE LA CRUZ, Maria"], ["John Allen Miller", "Miller, John Allen", "John A. Miller", "Miller, J. A."],
+    ["Gabriel Garcia Marquez", "Garcia Marquez, Gabriel"], ["Thomas, Xavier", "Xavier Thomas"], ["J. A. B. Carter", "Carter, J.A.B."],
+]
+
+
+@pytest.mark.parametrize("n", [lambda i: 1, lambda i: 9 - i % 9, lambda i: 1 + i % 7])
+def test_every_rewriting_links(spark, n):
+    got = groups(spark, [x for g in TOGETHER for x in g], n)
+    for g in TOGETHER:
+        assert len({got[x] for x in g}) == 1 and got[g[0]], {x: got[x] for x in g}
+    assert len({got[g[0]] for g in TOGETHER}) == len(TOGETHER)
+
+
+#: Two different people each, one slip or one mistaken letter group apart.
+APART = [("John Clay", "John Day"), ("Ann Clark", "Ann Dark"), ("Maria Marin", "Maria Mann"), ("Paul Burns", "Paul Bums"), ("Anna Hansen", "Anna Jansen"), ("Joan Smith", "John Smith"), ("Bob Lee", "Bob Lea"), ("J. A. B. Moor", "J. A. C. Moor")]
+
+
+@pytest.mark.parametrize("n", [lambda i: 1, lambda i: 50 if i % 2 else 2, lambda i: 2 if i % 2 else 50])
+def test_like_names_stay_apart(spark, n):
+    """Whatever the counts: each of the words is borne by as many, so that neither is rare beside the other."""
+    got = groups(spark, [x for p in APART for x in p], n)
+    assert all(got[a] and got[b] and got[a] != got[b] for a, b in APART), [p for p in APART if got[p[0]] == got[p[1]]]
+    many = [f"{g} {s}" for g in ("Ada", "Una", "Ivo", "Ole") for s in ("Clay", "Day", "Hansen", "Jansen")]
+    varied = ["Clay, John", "Day, John", "Hansen, Anna", "Jansen, Anna"]
+    got = groups(spark, [x for p in APART for x in p] + many + varied, n)
+    assert all(got[a] and got[b] and got[a] != got[b] for a, b in APART)
+
+
+def test_a_form_of_two_full_names_stands_for_none(spark):
+    got = groups(spark, ["Fred Smith", "Frederick Smith", "Winifred Smith"])
+    assert got["Fred Smith"] is None and got["Frederick Smith"] != got["Winifred Smith"]
+
+
+def test_misreadings_are_rare_beside_what_they_are_read_from(spark):
+    people = [f"{g} Ferncliff" for g in ("Ada", "Una", "Ivo", "Ida")] + ["Ole Ferncliff", "Ole Femcliff", "Ole Ferndiff", "Ole Frencliff", "Oel Ferncliff"] + [f"Ole {s}" for s in ("Bask", "Corm", "Dunt", "Elk")]
+    got = groups(spark, people)
+    assert len({got[f"Ole {s}"] for s in ("Ferncliff", "Femcliff", "Ferndiff", "Frencliff")}) == 1 and got["Oel Ferncliff"] == got["Ole Ferncliff"]
+    assert len(set(got.values())) == 9
+
+
+def test_links_do_not_depend_on_the_layout(spark):
+    data = str(DATA).replace("sf0.001", "sf0.01")
+    if not os.path.exists(data):
+        pytest.skip("no test data")
+    found = []
+    for parts in ("1", "7", "16"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            found.append({(r.name, r.entity) for r in queries._linked(spark, data).collect()})
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == found[1] == found[2]
+
+
 def test_doubtful_names_stand_for_none(spark):
     got = groups(spark, ["Ursula A. Gelisopusk", "Ursula J. Gelisopusk", "Gelisopusk, U.", "Ulla Gelisopusk", "Ursula A. Gelisopusk and Ann Moreb", "A; B", "", "12", "Ursula J. Gelisopusk; Bob Lee"])
     assert got["Ursula A. Gelisopusk"] != got["Ursula J. Gelisopusk"]
@@ -185,10 +242,14 @@ def test_doubtful_names_stand_for_none(spark):
 
 
 def test_slips_are_followed_to_their_end(spark):
-    chain = [(f"k{i}", 10 + i, [f"f{i}", f"f{i + 1}"]) for i in range(12)]
-    got = {r.key: r.head for r in names._heads(spark.createDataFrame(chain, "key string, n long, forms array<string>")).collect()}
+    keys = "key string, n long, ways long, words array<struct<word: string, bearers: long>>, forms array<string>"
+    chain = [(f"k{i}", 10 + i, 1, [(f"w{i}", 4**i)], [f"f{i}", f"f{i + 1}"]) for i in range(12)]
+    got = {r.key: r.head for r in names._heads(spark.createDataFrame(chain, keys)).collect()}
     assert got == {f"k{i}": "k11" for i in range(11)}
-    assert names._heads(spark.createDataFrame([("a", 1, ["x"])], "key string, n long, forms array<string>")).count() == 0
+    assert names._heads(spark.createDataFrame([("a", 1, 1, [("w", 1)], ["x"])], keys)).count() == 0
+    # Between two heads that end apart, neither is taken.
+    two = [("a", 1, 1, [("x", 1)], ["f", "g"]), ("b", 9, 3, [("y", 8)], ["f"]), ("c", 9, 3, [("z", 8)], ["g"])]
+    assert names._heads(spark.createDataFrame(two, keys)).count() == 0
 
 
 def test_slips_share_a_form():
