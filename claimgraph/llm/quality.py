@@ -1,18 +1,23 @@
 """Statistics of texts, and whether a text is running prose or a list, a table or junk.
 
-A text is read in units: lines, with hard-wrapped ones joined. Thresholds for the
-units come from a rule list that incremental reduced-error pruning learns on
-labelled documents; as a CASE expression it is applied to every unit of every
-document, and a document is what most of its characters stand in. All
-features are built-in expressions.
+A text is read in units: lines, with hard-wrapped ones joined. Incremental
+reduced-error pruning learns two rule lists on labelled documents: one tells units of
+prose from others, one tells lists, tables and junk by the features of a whole text.
+As CASE expressions they are applied to every unit and every document; a document is
+prose if at least half of its characters stand in prose. All features are built-in
+expressions.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimgraph.llm.rules import RuleList, induce
+from claimgraph.sources import stage
 
 # Common words of the collection's languages that are written with spaces; those of CLAUSE need a clause around them, the others also stand in titles and list items.
 CLAUSE = """
@@ -40,30 +45,34 @@ RUN_PHRASE = """
 的 在 和 与 及 之 于 从 对 为 以
 の に と で も へ や まで より など
 """.split()
-WORD = r"\p{L}[\p{L}\p{M}'’]*"
+#: A word: a run of letters and what is written with them; an apostrophe inside belongs to it.
+WORD = r"(\p{L})[\p{L}\p{M}'’]*"
 #: Runs of Han and kana have no spaces: each of their letters is a word, a common one if it stands in one of the words above.
 RUN = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー"
 RUN_LETTER, RUN_BREAK = rf"[{RUN}&&\p{{L}}]+", rf"[{RUN}]+"
-SPACE = r"[\s 　​﻿]+"
+#: White space but for the plain one and the tab.
+ODD_SPACE = "[  -​ 　﻿\u000b\r]"
 HAN = r"぀-ヿ㐀-䶿一-鿿"
-# Patterns start with what is rare and match one character each, so that a count is a difference of lengths.
 #: A line break inside a sentence: after a letter or comma, before a small letter.
-WRAP = r"\r?\n(?=\p{Ll})(?<=[\p{L},][ \t]{0,8}\r?\n)"
-#: The same after more blanks than WRAP looks back over; looked for only in texts that have as many.
-MANY_BLANKS, WRAP_FAR = r"[ \t]{9}\r?\n", r"([\p{L},][ \t]{9,})\r?\n(?=\p{Ll})"
-WRAPPED = "\u2063"
-UNIT = r"\r?\n|\f"
+WRAP = r"\n(?=\p{Ll})(?<=[\p{L},][ \t]{0,8}\n)"
+#: The same after more blanks than WRAP looks back over; looked for only in texts that have a tab or as many blanks.
+BLANKS, WRAP_FAR = " " * 9, r"([\p{L},][ \t]{9,})\n(?=\p{Ll})"
+WRAPPED = "⁣"
+# The following are looked for in a unit's skeleton, in which each word is its first letter.
 END = rf"[.!?。！？…](?<=[\p{{L}}\p{{N}})\]\"”»’%].)(?=[.!?。！？…]*[\"”»)’」]*(?:\s|$|[{HAN}]))"
-MARK = r"^[ \t]*(?:[-*•·–—◦▪+>]|\(?\p{N}{1,3}[.):]|\(?[a-z][.)]|\p{N}+(?:\.\p{N}+)+)[ \t]"
 SEPARATOR = r"[|;·•\t=/]| (?= )(?<![ ].)"
-UPPER = r"\p{Lu}(?<![\p{L}\p{M}].)"
+# The following are looked for in the unit itself, at its ends.
+MARK = r"\A[ \t]*((?:[-*•·–—◦▪+>]|\(?\p{N}{1,3}[.):]|\(?[a-z][.)]|\p{N}+(?:\.\p{N}+)+)[ \t])?"
 FULL = r"[.!?。！？…][\"”»)’」]*\s*$"
 #: An end of a unit that leaves open what stands before it.
-TAIL = r"\A[\"”»)’」\s\u0085\u2028\u2029]{12}\z"
+TAIL = r"\A[\"”»)’」\s\u0085  ]{12}\z"
 #: The comparisons that each feature may be used in: what speaks for prose, first of all.
 SIDES = {"ends": ">", "common": ">", "clause": ">", "letters": ">", "full_stop": ">", "chars": ">", "seps": "<=", "marked": "<=", "symbols": "<=", "digits": "<=", "odd": "<=", "word_length": "<="}
-FEATURES = ["letters", "digits", "symbols", "word_length", "upper", "common", "clause", "ends", "span", "seps", "marked", "odd", "han", "full_stop", "chars"]
-ORDER = ("prose", "table", "junk", "list")
+FEATURES = ["letters", "digits", "symbols", "word_length", "upper", "common", "clause", "ends", "span", "seps", "marked", "odd", "runs", "full_stop", "chars"]
+PROSE, KINDS = "prose", ("table", "junk", "list")
+#: What is added up over the units of a text, and its features made of that.
+SUMS = ["chars", "words", "n_letters", "n_digits", "n_common", "n_upper", "n_ends", "n_seps", "n_odd", "lines", "marked", "full_stop"]
+TEXT_FEATURES = ["letters", "digits", "symbols", "word_length", "upper", "common", "ends", "seps", "odd", "marked_lines", "ended_lines", "line_chars", "line_words"]
 #: At most so many labelled documents, and so many units of them, are used to learn the rules.
 LABELLED_DOCUMENTS, LABELLED_UNITS = 6_000, 150_000
 
@@ -77,128 +86,151 @@ def _one_of(words: list[str]) -> str:
 
 
 def units(rows: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
-    """key, keep..., lines (that were joined), and the features of each unit that is not blank."""
+    """key, place, keep..., lines (that were joined; 0 for a blank unit), and the features of each unit, blank ones with no characters. A null text is one blank unit.
+
+    Every unit is read by few patterns: most counts come from its skeleton, which is
+    as many times shorter as words are long.
+    """
     body = F.col(text).cast("string")
     # Each unit counts its own lines: a wrapped one has its break as a mark instead.
-    near = F.when(body.rlike(MANY_BLANKS), F.regexp_replace(body, WRAP_FAR, f"$1 {WRAPPED}")).otherwise(body)
-    joined = F.split(F.regexp_replace(near, WRAP, f" {WRAPPED}"), UNIT)
-    cut = rows.select(F.col(key).alias("key"), *keep, F.explode(joined).alias("u"))
-    lines = 1 + F.length("u") - F.length(F.replace("u", F.lit(WRAPPED)))
-    u, low = F.col("u"), F.lower("u")
+    plain = F.replace(F.replace(body, F.lit("\r\n"), F.lit("\n")), F.lit("\f"), F.lit("\n"))
+    near = F.when(F.contains(plain, F.lit(BLANKS)) | F.contains(plain, F.lit("\t")), F.regexp_replace(plain, WRAP_FAR, f"$1 {WRAPPED}")).otherwise(plain)
+    joined = F.split(F.regexp_replace(near, WRAP, f" {WRAPPED}"), "\n")
+    cut = rows.select(F.col(key).alias("key"), *keep, F.posexplode_outer(joined).alias("place", "u"))
+    u = F.coalesce("u", F.lit(""))
+    broken = 1 + F.length(u) - F.length(F.replace(u, F.lit(WRAPPED)))
+    bare = F.replace(u, F.lit(WRAPPED))
+    spaced = F.when((F.octet_length(bare) > F.length(bare)) | F.contains(bare, F.lit("\r")), F.regexp_replace(bare, ODD_SPACE, " ")).otherwise(bare)
+    shaped = cut.select("key", "place", *keep, broken.alias("broken"), spaced.alias("u"))
+    u = F.col("u")
     size, end = F.length("u"), F.right(u, F.lit(12))
     # Most units are spared the look for runs by their bytes, the others by their letters.
     runs = (F.octet_length("u") > size) & u.rlike(f"[{RUN}]")
-    in_runs = lambda pattern: F.when(runs, size - _without(u, pattern)).otherwise(0)
-    counted = cut.select(
+    shaped = shaped.withColumn("runs", runs).withColumn("v", F.regexp_replace(F.when(F.col("runs"), F.regexp_replace("u", RUN_BREAK, " ")).otherwise(u), WORD, "$1"))
+    shaped = shaped.withColumn("skeleton", F.when(F.col("runs"), F.regexp_replace("u", WORD, "$1")).otherwise(F.col("v")))
+    in_runs = lambda pattern: F.when(F.col("runs"), size - _without(u, pattern)).otherwise(0)
+    # What is left of the skeleton without letters and spaces is short.
+    rest = F.replace(F.replace(F.regexp_replace("skeleton", r"[\p{L}\p{M}]+", ""), F.lit(" ")), F.lit("\t"))
+    counted = shaped.withColumn("rest", rest).select(
         "key",
+        "place",
         *keep,
-        lines.alias("lines"),
-        F.replace("u", F.lit(WRAPPED)).alias("u"),
-    ).select(
-        "*",
-        _without(u, SPACE).alias("chars"),
-        F.regexp_extract_all(F.when(runs, F.regexp_replace(low, RUN_BREAK, " ")).otherwise(low), F.lit(f"({WORD})")).alias("w"),
+        "broken",
+        (size - F.length("skeleton") + F.length(F.regexp_replace("skeleton", r"[^\p{L}\p{M}]+", ""))).alias("n_letters"),
+        F.length("rest").alias("n_rest"),
+        F.length(F.regexp_replace("v", r"[^\p{L}]+", "")).alias("n_words"),
+        F.regexp_extract_all(F.when(F.col("runs"), F.regexp_replace("u", RUN_BREAK, " ")).otherwise(u), F.lit(WORD), F.lit(0)).alias("w"),
         in_runs(RUN_LETTER).alias("n_run"),
         in_runs(_one_of(RUN_CLAUSE + RUN_PHRASE)).alias("n_run_common"),
         in_runs(_one_of(RUN_CLAUSE)).alias("n_run_clause"),
-        (size - _without(u, r"[\p{L}\p{M}]+")).alias("n_letters"),
-        (size - _without(u, r"\p{N}+")).alias("n_digits"),
-        (size - _without(u, UPPER)).alias("n_upper"),
-        (size - _without(u, END)).alias("n_ends"),
-        (size - _without(u, SEPARATOR)).alias("n_seps"),
-        (size - _without(u, r"[\u0080-¿�]+")).alias("n_odd"),
-        (size - _without(u, f"[{HAN}]+")).alias("n_han"),
-        u.rlike(MARK).cast("double").alias("marked"),
+        (F.length("rest") - _without(F.col("rest"), r"\p{N}+")).alias("n_digits"),
+        F.length(F.regexp_replace("skeleton", r"[^\p{Lu}]+", "")).alias("n_upper"),
+        (F.length("skeleton") - _without(F.col("skeleton"), END)).alias("n_ends"),
+        (F.length("skeleton") - _without(F.col("skeleton"), SEPARATOR)).alias("n_seps"),
+        F.when(F.octet_length("rest") > F.length("rest"), F.length("rest") - _without(F.col("rest"), r"[\u0080-¿�]+")).otherwise(0).alias("n_odd"),
+        (F.regexp_extract(u, MARK, 1) != "").cast("double").alias("marked"),
         F.when(end.rlike(TAIL), u.rlike(FULL)).otherwise(end.rlike(FULL)).cast("double").alias("full_stop"),
-    ).where("chars > 0")
-    everyday, clause = [*dict.fromkeys(CLAUSE + PHRASE)], [*dict.fromkeys(CLAUSE)]
+    )
+    everyday, clause = ([x for w in dict.fromkeys(words) for x in dict.fromkeys((w, w.capitalize(), w.upper()))] for words in (CLAUSE + PHRASE, CLAUSE))
     known = counted.withColumn("c", F.filter("w", lambda w: w.isin(everyday)))
     sizes = {
-        "words": F.size("w") + F.col("n_run"),
+        "chars": F.col("n_letters") + F.col("n_rest"),
+        "words": F.col("n_words") + F.col("n_run"),
         "n_common": F.size("c") + F.col("n_run_common"),
         "n_clause": F.size(F.filter("c", lambda w: w.isin(clause))) + F.col("n_run_clause"),
     }
-    numbered = known.withColumns(sizes).drop("w", "c", "u", "n_run", "n_run_common", "n_run_clause")
+    return _shares(known.withColumns(sizes).withColumn("lines", F.when(F.col("chars") > 0, F.col("broken")).otherwise(0))).withColumns(
+        {
+            "clause": F.col("n_clause") / F.greatest("words", F.lit(1)),
+            "span": F.when(F.col("n_ends") > 0, F.col("chars") / F.col("n_ends")).otherwise(999.0),
+            "runs": F.col("n_run") / F.greatest("chars", F.lit(1)),
+        }
+    ).drop("w", "c", "broken", "n_words", "n_rest", "n_run", "n_run_common", "n_run_clause")
+
+
+def _shares(rows: DataFrame) -> DataFrame:
+    """The features that units and texts have in common, from their counts."""
     share = lambda c, of="chars": F.col(c) / F.greatest(F.col(of), F.lit(1))
-    return numbered.withColumns(
+    return rows.withColumns(
         {
             "letters": share("n_letters"),
             "digits": share("n_digits"),
-            "symbols": (F.col("chars") - F.col("n_letters") - F.col("n_digits")) / F.col("chars"),
+            "symbols": (F.col("chars") - F.col("n_letters") - F.col("n_digits")) / F.greatest("chars", F.lit(1)),
             "word_length": share("n_letters", "words"),
             "upper": share("n_upper", "words"),
             "common": share("n_common", "words"),
-            "clause": share("n_clause", "words"),
             "ends": share("n_ends") * 100,
-            "span": F.when(F.col("n_ends") > 0, F.col("chars") / F.col("n_ends")).otherwise(999.0),
             "seps": share("n_seps") * 100,
             "odd": share("n_odd"),
-            "han": share("n_han"),
         }
     )
 
 
-def learn(documents: DataFrame, labels: DataFrame, key: str, text: str, label: str, kinds: bool = True) -> RuleList:
-    """A rule list for units, from labelled documents: of all of ORDER, or (without `kinds`) of prose and 'other' only.
+def _texts(judged: DataFrame, *more: Column) -> DataFrame:
+    """key, SUMS, TEXT_FEATURES and `more` sums of each text."""
+    summed = judged.groupBy("key").agg(*(F.sum(c).cast("long").alias(c) for c in SUMS), *more)
+    line = lambda c: F.col(c) / F.greatest("lines", F.lit(1))
+    return _shares(summed).withColumns({"marked_lines": line("marked"), "ended_lines": line("full_stop"), "line_chars": line("chars"), "line_words": line("words")})
+
+
+@dataclass(frozen=True)
+class Forms:
+    """What is learnt: rules for units (prose or 'other') and for texts that are not prose."""
+
+    units: RuleList = RuleList((), PROSE, (PROSE,))
+    texts: RuleList = RuleList((), KINDS[-1], KINDS)
+
+
+def learn(documents: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> Forms:
+    """Rules for units and texts, from documents labelled with PROSE or one of KINDS.
 
     At most LABELLED_DOCUMENTS labels, chosen by a hash of the key, are taken to the
-    driver and sent to the documents; at most LABELLED_UNITS units come back. Labels
-    that are null or not one of ORDER (such as blank) are left out. Without labels
-    everything is prose.
+    driver and sent to the documents, whose texts are read once; at most
+    LABELLED_UNITS units come back, and the features of each text. Both are chosen and
+    ordered by a hash of key and place, so that the rules do not depend on how the
+    rows are laid out. Other labels (such as blank) and null ones are left out.
+    Without labels everything is prose.
     """
-    held = labels.where(F.col(label).isin(*ORDER) & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias("__label"))
+    held = labels.where(F.col(label).isin(PROSE, *KINDS) & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias("__label"))
     chosen = held.orderBy(F.xxhash64(key), key).limit(LABELLED_DOCUMENTS).toPandas()
     if not len(chosen):
-        return RuleList((), ORDER[0], (ORDER[0],))
-    spark = documents.sparkSession
-    sample = spark.createDataFrame(chosen, held.schema)
+        return Forms()
+    sample = documents.sparkSession.createDataFrame(chosen, held.schema)
     known = documents.select(key, text).join(F.broadcast(sample), key)  # at most LABELLED_DOCUMENTS rows
-    seen = units(known, key, text, "__label").select("__label", *FEATURES).limit(LABELLED_UNITS).toPandas()
+    read = stage(units(known, key, text, "__label").where("chars > 0"))
+    drawn = read.df.select(F.xxhash64("key", "place").alias("__draw"), "key", "place", "__label", *FEATURES)
+    seen = drawn.orderBy("__draw", "key", "place").limit(LABELLED_UNITS).toPandas()
     columns = {f: seen[f].to_numpy(float) for f in FEATURES}
-    weight = columns["chars"].clip(max=3000)
-    found = seen["__label"] if kinds else seen["__label"].where(seen["__label"] == ORDER[0], "other")
-    order = [c for c in (ORDER if kinds else (ORDER[0], "other")) if c == ORDER[0] or (found == c).any()]
-    return induce(columns, found.to_numpy(), weight, order=order, sides=SIDES, pure=0.02, least_worth=0.7)
+    found = seen["__label"].where(seen["__label"] == PROSE, "other").to_numpy()
+    prose = induce(columns, found, columns["chars"].clip(max=3000), order=[PROSE, "other"], sides=SIDES, pure=0.02, least_worth=0.7)
+    whole = _texts(read.df, F.min("__label").alias("__label")).where(F.col("__label") != PROSE).select(F.xxhash64("key").alias("__draw"), "key", "__label", *TEXT_FEATURES)
+    others = whole.orderBy("__draw", "key").limit(LABELLED_DOCUMENTS).toPandas()
+    read.drop()
+    there = [k for k in KINDS if (others["__label"] == k).any()] or list(KINDS[-1:])
+    kinds = induce({f: others[f].to_numpy(float) for f in TEXT_FEATURES}, others["__label"].to_numpy(), np.ones(len(others)), order=there, least_worth=0.6, least_share=0.005)
+    return Forms(prose, kinds if len(others) else Forms().texts)
 
 
-def statistics(documents: DataFrame, key: str, text: str, rules: RuleList) -> DataFrame:
+def statistics(documents: DataFrame, key: str, text: str, forms: Forms) -> DataFrame:
     """One row for each document: key, words, mean_word_length, symbol_ratio, punctuated_lines, common_words, prose_share, form.
 
-    `form` is the first label of `rules` (prose) if at least half of the characters
-    (white space not counted) stand in units of that label, else the other label that
-    holds most (the first among equals). A word is a run of letters, in Han and kana
-    each letter, as in `RUN`. 'blank' for null, empty and blank texts,
-    whose shares are null and counts 0. Keys should be unique; rows with the same
-    key are counted together. A text's units are added up where they are read.
+    `form` is PROSE if at least half of the characters (white space not counted) stand
+    in units of prose, else one of KINDS. A word is a run of letters, in Han and kana
+    each letter, as in `RUN`; an apostrophe inside a word counts as a letter. 'blank'
+    for null, empty and blank texts, whose shares are null and counts 0. Keys should be
+    unique; rows with the same key are counted together. The texts are read once, and a
+    text's units are added up where they are read.
     """
-    judged = units(documents, key, text).withColumn("kind", F.expr(rules.sql()))
-    total = lambda c: F.sum(c).cast("long")
-    sums = judged.groupBy("key").agg(
-        total("chars").alias("chars"),
-        total("words").alias("words"),
-        total("n_letters").alias("n_letters"),
-        total("n_digits").alias("n_digits"),
-        total("n_common").alias("n_common"),
-        total("lines").alias("lines"),
-        total("full_stop").alias("ended"),
-        *(total(F.when(F.col("kind") == k, F.col("chars")).otherwise(0)).alias(f"in_{k}") for k in rules.labels),
-    )
-    blank = documents.where(F.col(text).isNull() | (F.regexp_replace(F.col(text).cast("string"), SPACE, "") == "")).select(F.col(key).alias("key")).distinct()
-    prose = F.col(f"in_{rules.labels[0]}")
-    form, rest = F.when(prose * 2 >= F.col("chars"), rules.labels[0]), rules.labels[1:]
-    for k in rest[:-1]:
-        form = form.when(F.col(f"in_{k}") == F.greatest(*(f"in_{r}" for r in rest)), k)
-    form = form.otherwise(rest[-1] if rest else rules.labels[0])
-    found = sums.select(
+    judged = units(documents, key, text).withColumn("kind", F.expr(forms.units.sql()))
+    sums = _texts(judged, F.sum(F.when(F.col("kind") == PROSE, F.col("chars")).otherwise(0)).cast("long").alias("prose"))
+    of = lambda part, whole: F.when(F.col("chars") > 0, part / F.greatest(whole, F.lit(1)))
+    return sums.select(
         F.col("key").alias(key),
         "words",
-        (F.col("n_letters") / F.greatest("words", F.lit(1))).alias("mean_word_length"),
-        ((F.col("chars") - F.col("n_letters") - F.col("n_digits")) / F.col("chars")).alias("symbol_ratio"),
-        F.least(F.col("ended") / F.greatest("lines", F.lit(1)), F.lit(1.0)).alias("punctuated_lines"),
-        (F.col("n_common") / F.greatest("words", F.lit(1))).alias("common_words"),
-        (prose / F.col("chars")).alias("prose_share"),
-        form.alias("form"),
+        of(F.col("n_letters"), F.col("words")).alias("mean_word_length"),
+        of(F.col("chars") - F.col("n_letters") - F.col("n_digits"), F.col("chars")).alias("symbol_ratio"),
+        F.when(F.col("chars") > 0, F.least(F.col("ended_lines"), F.lit(1.0))).alias("punctuated_lines"),
+        of(F.col("n_common"), F.col("words")).alias("common_words"),
+        of(F.col("prose"), F.col("chars")).alias("prose_share"),
+        F.when(F.col("chars") == 0, "blank").when(F.col("prose") * 2 >= F.col("chars"), PROSE).otherwise(F.expr(forms.texts.sql())).alias("form"),
     )
-    null = F.lit(None).cast("double")
-    empty = blank.select(F.col("key").alias(key), F.lit(0).cast("long").alias("words"), *(null.alias(c) for c in ("mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "prose_share")), F.lit("blank").alias("form"))
-    return found.unionByName(empty)

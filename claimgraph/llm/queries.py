@@ -90,20 +90,16 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", F.col("start").alias("first_token"), F.col("size").alias("tokens"), F.col("bin").alias("container"))
 
 
-def _formed(spark: SparkSession, sf_dir: str, kinds: bool) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rules = quality.learn(documents, table(spark, sf_dir, "document_labels"), "doc_id", "text", "form", kinds)
-    return quality.statistics(documents, "doc_id", "text", rules)
-
-
 def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's statistics and form."""
-    return _formed(spark, sf_dir, kinds=True)
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality.learn(documents, table(spark, sf_dir, "document_labels"), "doc_id", "text", "form")
+    return quality.statistics(documents, "doc_id", "text", rules)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents most of whose characters stand in lists, tables or junk."""
-    return _formed(spark, sf_dir, kinds=False).where("form NOT IN ('prose', 'blank')").select("doc_id")
+    """The documents most of whose characters stand in lists, tables or junk: those to which `p8_statistics` gives one of these forms."""
+    return p8_statistics(spark, sf_dir).where("form NOT IN ('prose', 'blank')").select("doc_id")
 
 
 _FOLD = "lower(trim(regexp_replace({0}, '[ \\t\\n' || chr(160) || ']+', ' ', 'g')))"

@@ -319,7 +319,7 @@ def test_words_of_han_and_kana(spark):
     """Each letter of a run is a word, whatever stands beside it; letters of other scripts keep their words."""
     texts = [(1, "但是没有人知道。"), (2, "Kebridの船は、古い。"), (3, "データ・ベース 佐々木"), (4, "the café of 的"), (5, "the café of")]
     frame = spark.createDataFrame(texts, "doc long, body string")
-    got = {r.doc: r for r in quality.statistics(frame, "doc", "body", rules.RuleList((), "prose", ("prose",))).collect()}
+    got = {r.doc: r for r in quality.statistics(frame, "doc", "body", quality.Forms()).collect()}
     assert {i: r.words for i, r in got.items()} == {1: 7, 2: 6, 3: 9, 4: 4, 5: 3}
     assert got[1].mean_word_length == 1.0 and got[2].mean_word_length == 11 / 6
     assert {i: round(r.common_words * r.words) for i, r in got.items()} == {1: 3, 2: 2, 3: 0, 4: 3, 5: 2}
@@ -328,7 +328,7 @@ def test_words_of_han_and_kana(spark):
 def test_ends_and_wraps_behind_many_blanks(spark):
     texts = [(1, "It ended." + " " * 40), (2, "It ended." + "”)" * 20), (3, "It did not" + " " * 40), (4, "a line that" + " " * 30 + "\nwent on" + "\t" * 9 + "\r\nhere."), (5, "A line" + " " * 30 + "\nNew.")]
     frame = spark.createDataFrame(texts, "doc long, body string")
-    got = {r.doc: r.punctuated_lines for r in quality.statistics(frame, "doc", "body", rules.RuleList((), "prose", ("prose",))).collect()}
+    got = {r.doc: r.punctuated_lines for r in quality.statistics(frame, "doc", "body", quality.Forms()).collect()}
     assert got == {1: 1.0, 2: 1.0, 3: 0.0, 4: pytest.approx(1 / 3), 5: 0.5}
     joined = {r.key: r.lines for r in quality.units(frame.where("doc = 4"), "doc", "body").collect()}
     assert joined == {4: 3}
@@ -342,8 +342,25 @@ def test_forms_on_held_out_labels(spark):
     documents = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{data}/document_labels.parquet").where("form <> 'blank'")
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
-    learnt = quality.learn(documents, labels.where(half), "doc_id", "text", "form", kinds=False)
+    learnt = quality.learn(documents, labels.where(half), "doc_id", "text", "form")
     held = documents.join(F.broadcast(labels.where(~half).select("doc_id")), "doc_id")
     found = {r.doc_id: r.form for r in quality.statistics(held, "doc_id", "text", learnt).collect()}
     rows = [(r.form == "prose", found[r.doc_id] == "prose") for r in labels.where(~half).collect() if r.doc_id in found]
     assert sum(a == b for a, b in rows) / len(rows) > 0.9
+    kinds = [(r.form, found[r.doc_id]) for r in labels.where(~half).collect() if r.form != "prose" and found[r.doc_id] != "prose"]
+    assert sum(a == b for a, b in kinds) / len(kinds) > 0.6
+
+
+def test_rules_do_not_depend_on_the_layout(spark):
+    data = str(DATA).replace("sf0.001", "sf0.01")
+    if not os.path.exists(data):
+        pytest.skip("no test data")
+    documents, labels = (spark.read.parquet(f"{data}/{n}.parquet") for n in ("documents", "document_labels"))
+    assert quality.learn(documents.repartition(4), labels, "doc_id", "text", "form") == quality.learn(documents.repartition(64), labels.repartition(3), "doc_id", "text", "form")
+
+
+def test_found_are_those_with_a_form(spark):
+    if not DATA.exists():
+        pytest.skip("no test data")
+    forms = {r.doc_id: r.form for r in queries.p8_statistics(spark, str(DATA)).collect()}
+    assert {r.doc_id for r in queries.p8_found(spark, str(DATA)).collect()} == {d for d, f in forms.items() if f not in ("prose", "blank")}
