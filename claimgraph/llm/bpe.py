@@ -4,7 +4,8 @@ A text is cut at single spaces into pieces, which repeat; only pieces not seen
 before are split by the vocabulary's pattern, and only words not seen before are
 encoded. Those words go into padded matrices by length; in each round every row
 merges its leftmost pair of least rank, looked up in a hash table, and is
-compacted. Rows without a pair to merge leave the matrix.
+compacted. Rows without a pair to merge leave the matrix. A long word is a row of its
+own that merges all places of its least rank in a round.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +28,8 @@ CACHE_TOKENS = 4_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.int32(2**31 - 1)
 _UNSAFE = -1
-#: Words longer than 2^(LAST_BUCKET - 1) bytes share the last bucket, longest first; a matrix has at most about MATRIX_CELLS cells.
-LAST_BUCKET, MATRIX_CELLS = 6, 1 << 21
+#: Words longer than 2^(LAST_BUCKET - 1) bytes share the last bucket, longest first; a matrix has at most about MATRIX_CELLS cells. Words of more than LONG bytes are merged alone.
+LAST_BUCKET, MATRIX_CELLS, LONG = 6, 1 << 21, 256
 
 
 class Merges:
@@ -85,8 +87,10 @@ class Merges:
         out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         buckets = np.minimum(np.ceil(np.log2(np.maximum(lengths, 1))).astype(np.int64), LAST_BUCKET)
+        for i in np.flatnonzero(lengths > LONG):
+            out[i] = self._alone(words[i])
         for b in np.unique(buckets):
-            rows = np.flatnonzero(buckets == b)
+            rows = np.flatnonzero((buckets == b) & (lengths <= LONG))
             rows = rows[np.argsort(-lengths[rows], kind="stable")]
             while len(rows):
                 step = max(1, MATRIX_CELLS // int(max(lengths[rows[0]], 1)))
@@ -94,6 +98,32 @@ class Merges:
                 rows = rows[step:]
         return out
 
+    def _alone(self, word: bytes) -> np.ndarray:
+        """The tokens of one word, all places of the least rank merged at once, leftmost first.
+
+        A merge makes only pairs of higher rank, so all places of a rank merge before
+        any other: a round for each rank that occurs, not for each letter.
+        """
+        tokens = self.byte[np.frombuffer(word, np.uint8)]
+        pairs = self.ranks(tokens[:-1], tokens[1:])
+        while len(pairs):
+            best = pairs.min()
+            if best == _NONE:
+                break
+            at = np.flatnonzero(pairs == best)
+            touching = np.diff(at, prepend=-2) == 1
+            if touching.any():
+                # Of overlapping places every second one merges, from the left.
+                number = np.arange(len(at))
+                at = at[(number - np.maximum.accumulate(np.where(touching, 0, number))) % 2 == 0]
+            tokens[at] = best
+            tokens, pairs = np.delete(tokens, at + 1), np.delete(pairs, at)
+            at = at - np.arange(len(at))
+            for side in (at - 1, at):
+                side = side[(side >= 0) & (side < len(pairs))]
+                pairs[side] = self.ranks(tokens[side], tokens[side + 1])
+        return tokens
+
     def _bucket(self, words: list[bytes], lengths: np.ndarray, rows: np.ndarray, out: list[np.ndarray]) -> None:
         n = lengths[rows].copy()
         width = int(n.max(initial=0))
@@ -278,22 +308,17 @@ def encoder(vocabulary: str = DEFAULT_VOCABULARY) -> Encoder:
     return Encoder(vocabulary)
 
 
-#: Texts are taken from a batch in blocks of about so many characters; a single longer text is a block.
+#: Texts are taken from a batch in blocks of about so many bytes; a single longer text is a block.
 BLOCK_CHARS = 6_000_000
 
 
 def blocks(texts: pa.Array) -> Iterator[list[str | None]]:
     """The texts as Python strings, some at a time."""
-    held, size = [], 0
-    for scalar in texts:
-        text = scalar.as_py()
-        held.append(text)
-        size += len(text or "") + 64
-        if size >= BLOCK_CHARS:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
+    number = (np.cumsum(sizes) - sizes) // BLOCK_CHARS
+    starts = np.flatnonzero(np.diff(number, prepend=-1))
+    for a, b in zip(starts, [*starts[1:], len(texts)], strict=True):
+        yield texts.slice(a, b - a).to_pylist()
 
 
 def encode(rows: DataFrame, key: str, text: str, vocabulary: str = DEFAULT_VOCABULARY, ids: str = "ids") -> DataFrame:

@@ -2,8 +2,8 @@
 
 Each partition packs its own items by best fit, largest first. Containers that are
 nearly full are done. The others travel on as items of their load to a level with
-fewer partitions, where best fit joins them, and so on until one partition is
-left or a level joins nothing.
+fewer partitions, a branch of neighbouring ones to each, where best fit joins them,
+and so on until one partition is left.
 """
 
 from __future__ import annotations
@@ -85,20 +85,28 @@ def pack(rows: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     order of the input is right; the same input partitions give the same
     containers. The result has one row for each piece; an empty input gives none.
     Nothing is shuffled but containers that are not nearly full, of which a level
-    leaves at most one at half load or less in each partition.
+    leaves at most one at half load or less in each partition. A merging task is
+    given TASK_ROWS of them; only where more are left than that at the root do they
+    end in several tasks, when a round by chance joins nothing more.
     """
     items = pieces(rows, key, size, capacity)
     kind = items.schema["key"].dataType.simpleString()
     schema = f"key {kind}, piece int, start bigint, size bigint, bin bigint, load bigint, done boolean"
     placed = stage(items.mapInArrow(_packed(0, capacity, items.columns, 3), schema), "NOT done")
     open_ = placed.df.where("NOT done").groupBy("bin").agg(F.max("load").alias("size"))
-    parts, level, moves = max(1, placed.df.rdd.getNumPartitions()), 0, None
-    waiting = placed.held
-    while waiting > 1 and level < 60:
+    # A container's number tells the partition that packed it; the scan's partitions are the leaves.
+    branch = F.shiftright("bin", 32).bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
+    parts = (placed.df.agg(F.max(branch)).first()[0] or 0) + 1
+    waiting, level, moves = placed.held, 0, None
+    while waiting > 1:
         level += 1
-        parts = max(-(-parts // FAN_IN), -(-waiting // TASK_ROWS))
-        # The bin number keeps the partitions of one branch together.
-        joined = open_.select(F.col("bin").alias("part"), "size").repartition(parts, F.xxhash64("part")).sortWithinPartitions("part")
+        least = -(-waiting // TASK_ROWS)
+        fewer = max(-(-parts // FAN_IN), least)
+        if fewer < parts or parts == 1:
+            route = F.least(F.floor(branch / F.lit(parts / fewer)).cast("int"), F.lit(fewer - 1))
+        else:  # As few as may be: containers that have not met come together by chance.
+            route = F.pmod(F.xxhash64("bin", F.lit(level)), F.lit(fewer)).cast("int")
+        joined = open_.select("bin", "size", route.alias("route")).repartitionById(fewer, "route").select(F.col("bin").alias("part"), "size").sortWithinPartitions("part")
         merged = stage(joined.mapInArrow(_packed(level, capacity, ["part", "size"], 1), "part bigint, size bigint, bin bigint, load bigint, done boolean"), "NOT done")
         step = merged.df.select(F.col("part"), F.col("bin").alias("next"))
         if moves is None:
@@ -107,8 +115,9 @@ def pack(rows: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
             moves = stage(moves.alias("m").join(step.alias("s"), F.expr("m.next = s.part"), "left").select("m.bin", F.coalesce("s.next", "m.next").alias("next"))).df
         open_ = merged.df.where("NOT done").groupBy("bin").agg(F.max("load").alias("size"))
         before, waiting = merged.rows, open_.count()
-        if parts == 1 or waiting == before:
+        if fewer == 1 or (fewer == parts and waiting == before):
             break
+        parts = fewer
     result = placed.df.select(F.col("key").alias(key), "piece", "start", "size", "bin")
     if moves is None:
         return result

@@ -90,6 +90,18 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", F.col("start").alias("first_token"), F.col("size").alias("tokens"), F.col("bin").alias("container"))
 
 
+def p7_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the containers: documents, and the numbers of overfull containers, of documents cut though they fit, and of documents whose pieces are not one after the other."""
+    rows = p7_containers(spark, sf_dir)
+    loads = rows.groupBy("container").agg(F.sum("tokens").alias("load"))
+    whole = rows.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("tokens"), F.max(F.col("first_token") + F.col("tokens")).alias("upto"), F.count_distinct("first_token").alias("starts"))
+    one = lambda name, frame: frame.agg(F.count("*").alias("n")).select(F.lit(name).alias("measure"), "n")
+    cut = whole.where((F.col("pieces") > 1) & (F.col("tokens") <= CONTAINER_TOKENS))
+    torn = whole.where("upto <> tokens OR starts <> pieces")
+    parts = [one("documents", whole), one("overfull", loads.where(F.col("load") > CONTAINER_TOKENS)), one("cut_though_fitting", cut), one("torn", torn)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's statistics and form."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -131,4 +143,6 @@ SQL = {
     SELECT tendable_type, tendable_id, facet, id AS visit_id FROM r WHERE n > 3 AND place <= 3""",
 }
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p4_found": p4_found, "p5_found": p5_found, "p5_names": p5_names, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_statistics": p8_statistics, "p8_found": p8_found}
+SQL["p7_invariants"] = "SELECT 'documents' AS measure, count(*) AS n FROM documents UNION ALL SELECT unnest(['overfull', 'cut_though_fitting', 'torn']), 0"
+
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p4_found": p4_found, "p5_found": p5_found, "p5_names": p5_names, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_invariants": p7_invariants, "p8_statistics": p8_statistics, "p8_found": p8_found}

@@ -109,6 +109,22 @@ def test_encoding_equals_the_library():
         assert model.sizes_of(texts).tolist() == np.diff(at).tolist()
 
 
+@needs_vocabulary
+def test_long_words_equal_the_library():
+    import time
+
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(VOCABULARY.replace(".tiktoken", ".json"))
+    model = bpe.Encoder(VOCABULARY)
+    r = random.Random(5)
+    texts = ["z" * n for n in (256, 257, 258, 1023, 40_001)] + ["ab" * 700, "aab" * 500, "".join(r.choice("aeinrst") for _ in range(20_000)), "漢字" * 400, "=" * 999]
+    flat, at = model.encode(texts)
+    for i, e in enumerate(library.encode_batch(texts, add_special_tokens=False)):
+        assert flat[at[i] : at[i + 1]].tolist() == e.ids, texts[i][:20]
+    began = time.perf_counter()
+    assert model.sizes_of(["a" * 1_000_000])[0] > 1000 and time.perf_counter() - began < 20
+
+
 @needs_vocabulary
 def test_encoding_forgets_without_harm(monkeypatch):
     model = bpe.Encoder(VOCABULARY)
@@ -137,6 +153,19 @@ def test_best_fit_never_overfills():
     assert len(set(packing.best_fit(np.full(10, 60), 100))) == 10
 
 
+@pytest.mark.parametrize("task_rows", [1, 3, 500_000])
+def test_pack_meets_at_the_root(spark, monkeypatch, task_rows):
+    """Halves in different partitions come together, however many levels lie between them."""
+    monkeypatch.setattr(packing, "TASK_ROWS", task_rows)
+    frame = spark.range(200).selectExpr("id", "cast(if(id % 2 = 0, 30, 60) as long) AS tokens").repartition(20, "id")
+    loads = Counter()
+    for r in packing.pack(frame, "id", "tokens", 100).collect():
+        loads[r.bin] += r.size
+    assert max(loads.values()) <= 100 and sum(loads.values()) == 9000
+    if task_rows > 3:
+        assert len(loads) <= 115
+
+
 @pytest.mark.parametrize("sizes", [[700, 0, None, 33, 99, 100, 101, 250, 1, 1, 50, 50], [51] * 30, [], [0, 0], [100] * 5, [3] * 500])
 def test_pack(spark, sizes):
     frame = spark.createDataFrame(list(enumerate(sizes)), "item long, tokens long").repartition(4) if sizes else spark.createDataFrame([], "item long, tokens long")
