@@ -30,15 +30,24 @@ def terms(value: Column) -> Column:
     A string is one term; an array gives the terms of its elements; an object gives
     its `designation` if it has one, else its `name`; numbers, booleans, nulls and
     texts that are no JSON give none. A string is never parsed a second time. Arrays
-    within an array are opened too; deeper ones give none.
+    within arrays are opened at any depth: as many rounds as the text has brackets are
+    enough, and that is one for most.
     """
     parsed = F.try_parse_json(value)
     opened = lambda x: F.coalesce(F.try_variant_get(x, "$", "array<variant>"), F.array(x))
-    items = F.flatten(F.transform(opened(parsed), opened))
+    depth = F.length(value) - F.length(F.replace(value, F.lit("[")))
+    deeper = F.when(depth > 1, F.sequence(F.lit(2), depth)).otherwise(F.array().cast("array<int>"))
+    items = F.aggregate(deeper, opened(parsed), lambda held, _: F.flatten(F.transform(held, opened)))
     texts = F.transform(items, lambda x: F.when(F.schema_of_variant(x) == "STRING", x.cast("string")).otherwise(_designation(x)))
     return F.coalesce(F.filter(texts, lambda x: x.isNotNull()), F.array().cast("array<string>"))
 
 
+def plain_value(value: Column) -> Column:
+    """The string that a JSON text is, else the text itself."""
+    parsed = F.try_parse_json(value)
+    return F.when(F.schema_of_variant(parsed) == "STRING", F.try_variant_get(parsed, "$", "string")).otherwise(value)
+
+
 def shortened(text: Column, size: int = 160) -> Column:
     """At most `size` characters, with an ellipsis if something was cut."""
     return F.when(F.length(text) > size, F.concat(F.left(text, F.lit(size)), F.lit("…"))).otherwise(text)
@@ -60,3 +69,50 @@ def loose_json(text: Column) -> Column:
     once = F.when(F.try_parse_json(bare).isNotNull(), bare).when(F.try_parse_json(inner).isNotNull(), inner)
     quoted = F.when(F.schema_of_variant(F.try_parse_json(once)) == "STRING", F.try_variant_get(F.try_parse_json(once), "$", "string"))
     return F.when(quoted.isNotNull() & F.try_parse_json(quoted).isNotNull(), quoted).otherwise(once)
+
+
+# Words that tell nothing of what a text is about.
+STOPWORDS = tuple(
+    """the a an of to in on for and or is are was were be as by with from at this that it its
+    which who whom whose what how many much does do did will would should could may might
+    study thesis report author standard approach used uses using based their they them
+    provides provide recommends recommend federal""".split()
+)
+
+
+def words(body: Column) -> Column:
+    """The different words of ASCII letters and digits, in lower case, without STOPWORDS; none of null."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(body, F.lit(""))), F.lit("([a-z0-9]+)"))
+    return F.array_distinct(F.filter(found, lambda x: ~x.isin(*STOPWORDS)))
+
+
+def significant(body: Column) -> Column:
+    """Those of `words` that have at least four characters or are numbers."""
+    return F.filter(words(body), lambda x: (F.length(x) >= 4) | x.rlike("^[0-9]+$"))
+
+
+def clamped(value: Column) -> Column:
+    """A number held within 0 and 1, as a double; 0.5 for what is none."""
+    number = value.try_cast("double")
+    return F.when(number.isNull(), 0.5).otherwise(F.greatest(F.least(number, F.lit(1.0)), F.lit(0.0)))
+
+
+def token_count(counts: Column, key: str) -> Column:
+    """A number out of a JSON object, 0 where it is missing, null or no number."""
+    return F.coalesce(F.try_variant_get(F.try_parse_json(counts), f"$.{key}", "bigint"), F.lit(0).cast("bigint"))
+
+
+def follow_ups(reply: Column, sentinel: str, most: int = 3) -> Column:
+    """The questions after a sentinel line, bullets and numbers taken off, at most `most`; none without the sentinel."""
+    after = F.when(F.contains(reply, F.lit(sentinel)), F.substring_index(reply, sentinel, -1)).otherwise(F.lit(""))
+    lines = F.transform(F.split(after, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s*(?:[-*•]|\d+[.)])\s*", "")))
+    return F.slice(F.filter(lines, lambda x: x != ""), 1, most)
+
+
+def loose_array(text: Column) -> Column:
+    """The elements, as JSON texts, of an array that a model wrote: bare, fenced, quoted, or the only array within an object; null if there is none."""
+    parsed = F.try_parse_json(loose_json(text))
+    inside = F.try_variant_get(parsed, "$", "map<string, variant>")
+    arrays = F.filter(F.transform(F.map_values(inside), lambda v: F.try_variant_get(v, "$", "array<variant>")), lambda a: a.isNotNull())
+    found = F.coalesce(F.try_variant_get(parsed, "$", "array<variant>"), F.when(F.size(arrays) == 1, F.get(arrays, F.lit(0))))
+    return F.transform(found, lambda v: F.to_json(v))

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimgraph.functions.text import plain_value
 from claimgraph.operators import audits as verdicts
 
 RECORD = ["tendable_type", "tendable_id"]
@@ -73,10 +74,10 @@ def similarities(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
 
 
 def successions(claims: DataFrame) -> DataFrame:
-    """id, next_id, key, similarity, churn: each claim with its successor under the same key."""
+    """id, next_id, key, similarity, churn: each claim with its successor under the same key; strings are compared without their quotes."""
     after = claims.select(F.col("id").alias("next_id"), F.col("key").alias("__key"), F.col("value").alias("to_value"))
     joined = claims.where("superseded_by_id IS NOT NULL AND value IS NOT NULL").join(after, (F.col("superseded_by_id") == F.col("next_id")) & (F.col("key") == F.col("__key")))
-    both = joined.where("to_value IS NOT NULL").select("id", "next_id", "key", F.col("value").alias("from_value"), "to_value")
+    both = joined.where("to_value IS NOT NULL").select("id", "next_id", "key", plain_value(F.col("value")).alias("from_value"), plain_value(F.col("to_value")).alias("to_value"))
     alike = both.join(similarities(both, "id", "from_value", "to_value"), "id")
     return alike.select("id", "next_id", "key", "similarity", (F.col("similarity") > CHURN).alias("churn"))
 
@@ -114,27 +115,38 @@ def tombstones(claims: DataFrame) -> DataFrame:
 def reconcile(current: DataFrame, proposed: DataFrame) -> DataFrame:
     """record, key, op, live_id, value: what each proposal does to the live claims.
 
-    `proposed` has record, context_id, key, op and value. A locked claim never
-    changes; UPDATE and NOOP without a live claim add, unless the value is blank;
-    DELETE needs a live claim; a missing op is UPDATE where a claim lives, else ADD.
-    One live claim stands for a key: the newest.
+    `proposed` has record, context_id, key, op, value and id, in whose order the
+    proposals of a batch come: each meets what those before it under the same key have
+    left. ADD always adds. UPDATE and NOOP without a live claim add, unless the value is
+    blank; DELETE needs a live claim; a locked claim is neither updated nor deleted. A
+    missing or unknown op is UPDATE where a claim lives, else ADD. One live claim stands
+    for a key, the newest; `live_id` is null where an earlier proposal has replaced it.
     """
     key = [*RECORD, "context_id", "key"]
     held = current.where(live()).groupBy(*key).agg(F.max_by(F.struct("id", "locked"), F.struct("created_at", "id")).alias("c"))
     joined = proposed.alias("p").join(held.alias("h"), F.expr(" AND ".join(f"p.{k} <=> h.{k}" for k in key)), "left")
-    here = F.col("h.c").isNotNull()
-    asked = F.coalesce(F.upper(F.trim("p.op")), F.when(here, "UPDATE").otherwise("ADD"))
+    given = F.upper(F.trim("p.op"))
     blank = F.trim(F.coalesce("p.value", F.lit(""))).isin("", '""', "null", "[]", "{}")
+    told = joined.select(*(f"p.{k}" for k in key), "p.id", "p.value", F.when(given.isin("ADD", "UPDATE", "DELETE", "NOOP"), given).alias("given"), blank.alias("blank"), F.col("h.c.id").alias("first_id"), F.coalesce("h.c.locked", F.lit(False)).alias("locked"))
+    before = Window.partitionBy(*key).orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    added = F.coalesce(F.max((F.col("given") == "ADD").cast("int")).over(before), F.lit(0)) == 1
+    told = told.withColumn("fixed", F.col("locked") & F.col("first_id").isNotNull() & ~added)
+    # Whether a claim lives after a proposal: yes, no, or as before.
+    after = F.when(F.col("given") == "DELETE", F.when(~F.col("fixed"), F.lit(False))).when(F.col("given").isNull() | (F.col("given") == "ADD") | ~F.col("blank"), F.lit(True))
+    told = told.withColumn("after", after).withColumn("last", F.last("after", ignorenulls=True).over(before))
+    here = F.coalesce("last", F.col("first_id").isNotNull())
+    changed = F.max((F.col("after").isNotNull() & (~F.col("fixed") | F.col("given").eqNullSafe("ADD"))).cast("int")).over(before)
+    asked = F.coalesce("given", F.when(here, "UPDATE").otherwise("ADD"))
     op = (
-        F.when(here & F.col("h.c.locked"), "NOOP")
-        .when((asked == "DELETE") & here, "DELETE")
-        .when(asked == "DELETE", "NOOP")
-        .when(here & (asked == "NOOP"), "NOOP")
-        .when(here, "UPDATE")
-        .when(blank, "NOOP")
+        F.when(asked == "ADD", "ADD")
+        .when(here & F.col("fixed"), "NOOP")
+        .when(asked == "DELETE", F.when(here, "DELETE").otherwise("NOOP"))
+        .when(here, asked)
+        .when(F.col("blank"), "NOOP")
         .otherwise("ADD")
     )
-    return joined.select(*(f"p.{k}" for k in key), op.alias("op"), F.col("h.c.id").alias("live_id"), "p.value")
+    live_id = F.when(F.coalesce(changed, F.lit(0)) == 0, F.col("first_id"))
+    return told.select(*key, "id", op.alias("op"), live_id.alias("live_id"), "value")
 
 
 def newest_per_key(claims: DataFrame) -> DataFrame:

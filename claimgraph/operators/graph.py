@@ -32,29 +32,31 @@ def node_id(kind: Column, ident: Column) -> Column:
 
 
 def named(claims: DataFrame) -> DataFrame:
-    """node, key, term, confidence, seen_at: the short terms of live understanding claims."""
+    """node, key, term, plain (the value is that one string), confidence, seen_at: the short terms of live understanding claims."""
     held = claims.where(live() & understanding())
     node = node_id(F.col("tendable_type"), F.col("tendable_id")).alias("node")
-    spread = held.select(node, "key", F.explode(terms(F.col("value"))).alias("t"), "confidence", F.col("created_at").alias("seen_at"))
+    plain = (F.schema_of_variant(F.try_parse_json("value")) == "STRING").alias("plain")
+    spread = held.select(node, "key", plain, F.explode(terms(F.col("value"))).alias("t"), "confidence", F.col("created_at").alias("seen_at"))
     short = F.length("term").between(1, LONGEST)
     return spread.withColumn("term", F.trim(F.regexp_replace("t", "^[\\s ]+|[\\s ]+$", ""))).where(short).drop("t")
 
 
 def entity_index(claims: DataFrame) -> DataFrame:
-    """term, node: identifying terms and titles that only one record has; a term of several resolves to nothing."""
-    held = named(claims).where(F.col("key").rlike(IDENTIFIER_KEY) | (F.col("key") == "title"))
+    """term, node: identifying strings and titles, in lower case, that only one record has; a term of several resolves to nothing, nor does one out of an array or object."""
+    held = named(claims).where(F.col("plain") & (F.col("key").rlike(IDENTIFIER_KEY) | (F.col("key") == "title"))).withColumn("term", F.lower("term"))
     return held.groupBy("term").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other").drop("other")
 
 
 def edges(claims: DataFrame, memberships: DataFrame) -> DataFrame:
     """s, t, key, category, weight, seen_at: record to context by membership, record to record or entity by claim.
 
-    A term that identifies a record leads to it, any other to the entity 'term/...'.
+    A term that identifies a record leads to it, any other to the entity 'term/...';
+    terms are one without regard to case.
     Parallel edges of a key are one, with the greatest confidence and the first date;
     a record has no edge to itself.
     """
     index = entity_index(claims).select(F.col("term").alias("__term"), F.col("node").alias("__node"))
-    drawn = named(claims).where(~F.col("key").rlike(IDENTIFIER_KEY) & (F.col("key") != "title")).join(index, F.col("term") == F.col("__term"), "left")
+    drawn = named(claims).where(~F.col("key").rlike(IDENTIFIER_KEY) & (F.col("key") != "title")).withColumn("term", F.lower("term")).join(index, F.col("term") == F.col("__term"), "left")
     target = F.coalesce("__node", F.concat(F.lit("term/"), "term"))
     spoken = drawn.select(F.col("node").alias("s"), target.alias("t"), "key", F.col("confidence").alias("weight"), "seen_at").where("s <> t")
     placed = memberships.select(node_id(F.col("member_type"), F.col("member_id")).alias("s"), F.concat(F.lit("context/"), F.col("context_id").cast("string")).alias("t"), F.lit("in-context").alias("key"), F.lit(1.0).alias("weight"), F.col("created_at").alias("seen_at"))
@@ -127,8 +129,44 @@ def overview(drawn: DataFrame, kept: DataFrame, most: int = 420) -> DataFrame:
     return shown.orderBy(F.col("category") == "context", strength().desc(), "key", "s", "t").limit(most)
 
 
+def filtered(drawn: DataFrame, least: float | None = None, categories: list[str] | None = None, since: object = None, until: object = None) -> DataFrame:
+    """The edges of at least some weight (null counts as 0), of some categories, seen within a time; bounds included, None for no bound."""
+    out = drawn
+    if least:
+        out = out.where(F.coalesce("weight", F.lit(0.0)) >= least)
+    if categories:
+        out = out.where(F.col("category").isin(*categories))
+    if since is not None:
+        out = out.where(F.col("seen_at") >= F.lit(since).cast("timestamp_ntz"))
+    return out if until is None else out.where(F.col("seen_at") <= F.lit(until).cast("timestamp_ntz"))
+
+
+def uncrowded(drawn: DataFrame, most: int) -> DataFrame:
+    """term, mentions: the unresolved entities that are drawn: all, if there are no more than `most`, else the `most` commonest of those with two or more edges."""
+    counts = drawn.where(F.col("t").startswith("term/")).groupBy(F.col("t").alias("term")).agg(F.count("*").alias("mentions"))
+    known = stage(counts, "mentions >= 2")
+    if known.rows <= most:
+        return known.df
+    return known.df.where("mentions >= 2").orderBy(F.col("mentions").desc(), "term").limit(most)
+
+
+def found(shown: DataFrame, text: str) -> DataFrame:
+    """The node of `nodes` that a search means: that of this name, else the one that contains it, of the greatest priority, then degree, then first by name; letters' case does not count."""
+    name = F.lower(F.expr("substring(node, instr(node, '/') + 1)"))
+    hits = shown.where(F.contains(name, F.lit(text.lower()))).withColumn("exact", (name == text.lower()).cast("int"))
+    return hits.orderBy(F.col("exact").desc(), F.col("priority").desc(), F.col("degree").desc(), "node").limit(1).drop("exact")
+
+
+def connections(drawn: DataFrame, node: str, most: int = 40) -> DataFrame:
+    """direction, other, key, weight: a node's edges out and in, at most `most` of each, heaviest first."""
+    sides = [drawn.where(F.col("s") == node).select(F.lit("out").alias("direction"), F.col("t").alias("other"), "key", "weight"), drawn.where(F.col("t") == node).select(F.lit("in").alias("direction"), F.col("s").alias("other"), "key", "weight")]
+    some = [x.orderBy(F.col("weight").desc_nulls_last(), "other", "key").limit(most) for x in sides]
+    return some[0].unionByName(some[1])
+
+
 def capped(drawn: DataFrame, most: int) -> DataFrame:
-    """The edges among the `most` best-linked nodes; equal degrees in order of the name."""
+    """The edges among the `most` best-linked nodes; equal degrees in order of the name. The edges are written once."""
+    drawn = stage(drawn).df
     kept = degrees(drawn).orderBy(F.col("degree").desc(), "node").limit(most).select("node")
     left = drawn.join(F.broadcast(kept.select(F.col("node").alias("s"))), "s", "left_semi")  # at most `most` rows
     return left.join(F.broadcast(kept.select(F.col("node").alias("t"))), "t", "left_semi")
@@ -148,15 +186,19 @@ def focus(drawn: DataFrame, centre: str, hops: int = 2, most: int = 250) -> Data
         step = both.join(front.select(F.col("node").alias("s")), "s", "left_semi").select(F.col("t").alias("node")).distinct()
         front = step.join(reached.select("node"), "node", "left_anti").select("node", F.lit(hop).alias("hop"))
         reached = reached.unionByName(front)
-    ranked = reached.join(degrees(drawn), "node", "left").orderBy("hop", F.coalesce("degree", F.lit(0)).desc(), "node").limit(most)
+    near = drawn.select(F.explode(F.array("s", "t")).alias("node")).join(reached.select("node"), "node", "left_semi").groupBy("node").agg(F.count("*").alias("degree"))
+    ranked = reached.join(near, "node", "left").orderBy("hop", F.coalesce("degree", F.lit(0)).desc(), "node").limit(most)
     return ranked.select("node", "hop")
 
 
-def neighbours(drawn: DataFrame, centre: str, most: int) -> DataFrame:
-    """node, links, degree: who is linked to a node, most links first."""
-    near = drawn.where(F.col("s") == centre).select(F.col("t").alias("node")).unionByName(drawn.where(F.col("t") == centre).select(F.col("s").alias("node")))
-    counted = near.groupBy("node").agg(F.count("*").alias("links"))
-    return counted.join(degrees(drawn), "node").orderBy(F.col("links").desc(), F.col("degree").desc(), "node").limit(most).select("node", "links", "degree")
+def neighbours(drawn: DataFrame, centre: str, most: int, by: str = "relation") -> DataFrame:
+    """node, links, degree: who is linked to a node; most links first (`by` 'relation'), best-linked ('degree') or last linked to ('recency')."""
+    near = drawn.where(F.col("s") == centre).select(F.col("t").alias("node"), "seen_at").unionByName(drawn.where(F.col("t") == centre).select(F.col("s").alias("node"), "seen_at"))
+    counted = near.groupBy("node").agg(F.count("*").alias("links"), F.max("seen_at").alias("last_at"))
+    # Degrees are counted of the neighbours alone.
+    ends = drawn.select(F.explode(F.array("s", "t")).alias("node")).join(counted.select("node"), "node", "left_semi").groupBy("node").agg(F.count("*").alias("degree"))
+    order = {"relation": [F.col("links").desc(), F.col("degree").desc()], "degree": [F.col("degree").desc()], "recency": [F.col("last_at").desc_nulls_last()]}[by]
+    return counted.join(ends, "node").orderBy(*order, "node").limit(most).select("node", "links", "degree")
 
 
 def edge_types(drawn: DataFrame, most: int = 6) -> DataFrame:

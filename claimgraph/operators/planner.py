@@ -1,8 +1,6 @@
 """What to read next within a budget of tokens.
 
-Candidates are ranked in Spark. Only one row for each lane (its number of
-candidates and its cost) comes to the driver, where the budget is dealt out; lanes
-are configuration, at most MOST_LANES.
+Candidates are counted, dealt to and ranked in Spark; only totals come to the driver.
 """
 
 from __future__ import annotations
@@ -12,6 +10,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimgraph.sources import stage
+
+#: So many lanes at most are dealt to where the budget buys no lane its share.
 MOST_LANES = 10_000
 
 
@@ -49,18 +50,40 @@ def first_reason(items: DataFrame, key: Sequence[str], rank: Column) -> DataFram
     return items.withColumn("__r", F.row_number().over(once)).where("__r = 1").drop("__r")
 
 
-def planned(candidates: DataFrame, lane: str, cost: str, order: Sequence[Column], budget: int, share: str = "fair") -> DataFrame:
-    """The candidates that the budget affords, with their `place` in their lane; lanes come in the order of their names.
+def takes(counts: DataFrame, lane: str, budget: int) -> DataFrame:
+    """lane, take: how many candidates each lane gets of equal shares, as `fair` deals them, for any number of lanes; `counts` has lane, n and cost.
+
+    If no share buys anything, the lanes in the order of their names take what they
+    can afford; as each of them costs more than its share, no more than there are
+    shares in a budget can, and only the lanes that come first are dealt to.
+    """
+    known = stage(counts.select(lane, "n", "cost"))
+    lanes = max(known.rows, 1)
+    share = budget // lanes
+    first = F.least(F.col("n"), F.floor(F.lit(share) / F.col("cost"))).cast("bigint")
+    dealt = known.df.withColumn("first", first)
+    hungry = F.expr("first > 0 AND first < n")
+    sums = dealt.agg(F.count_if(hungry).alias("hungry"), F.coalesce(F.sum(F.col("first") * F.col("cost")), F.lit(0)).alias("spent"), F.coalesce(F.max("first"), F.lit(0)).alias("most")).first()
+    if not sums["most"]:
+        some = known.df.orderBy(lane).limit(MOST_LANES).collect()
+        taken = greedy([(r.n, r.cost) for r in some], budget)
+        kind = counts.schema[lane].dataType.simpleString()
+        return counts.sparkSession.createDataFrame([(r[lane], t) for r, t in zip(some, taken, strict=True) if t], f"{lane} {kind}, take bigint")
+    each = max(budget - sums["spent"], 0) // max(sums["hungry"], 1)
+    more = F.when(hungry, F.least(F.col("n") - F.col("first"), F.floor(F.lit(each) / F.col("cost")))).otherwise(0).cast("bigint")
+    return dealt.select(lane, (F.col("first") + more).alias("take")).where("take > 0")
+
+
+def planned(candidates: DataFrame, lane: str, cost: str, order: Sequence[Column], budget: int) -> DataFrame:
+    """The candidates that the budget affords, with their `place` in their lane.
 
-    `cost` is a lane's cost of one item, the same in all of its rows and at least 1.
+    `cost` is a lane's cost of one item, the same in all of its rows and at least 1. No
+    lane gets more than the budget buys at its cost, and a budget no more items than it
+    has tokens: ranks beyond that are dropped before the exchange.
     """
-    counts = candidates.groupBy(lane).agg(F.count("*").alias("n"), F.max(cost).alias("cost")).orderBy(lane).limit(MOST_LANES + 1).collect()
-    if len(counts) > MOST_LANES:
-        raise ValueError(f"more than {MOST_LANES} lanes")
-    takes = {"fair": fair, "greedy": greedy}[share]([(r.n, r.cost) for r in counts], budget)
-    spark = candidates.sparkSession
-    kind = candidates.schema[lane].dataType.simpleString()
-    dealt = spark.createDataFrame([(r[lane], t) for r, t in zip(counts, takes, strict=True) if t], f"{lane} {kind}, __take int")
-    ranked = candidates.withColumn("place", F.row_number().over(Window.partitionBy(lane).orderBy(*order)))
-    kept = ranked.alias("c").join(F.broadcast(dealt.alias("d")), F.col(f"c.{lane}").eqNullSafe(F.col(f"d.{lane}")) & (F.col("c.place") <= F.col("d.__take")))  # at most MOST_LANES rows
+    counts = candidates.groupBy(lane).agg(F.count("*").alias("n"), F.max(cost).alias("cost"))
+    dealt = takes(counts, lane, budget)
+    most = max(dealt.agg(F.coalesce(F.max("take"), F.lit(0)).alias("m")).first()["m"], 1)
+    ranked = candidates.withColumn("place", F.row_number().over(Window.partitionBy(lane).orderBy(*order))).where(F.col("place") <= most)
+    kept = ranked.alias("c").join(dealt.alias("d"), F.col(f"c.{lane}").eqNullSafe(F.col(f"d.{lane}")) & (F.col("c.place") <= F.col("d.take")))
     return kept.select("c.*")

@@ -30,6 +30,32 @@ def survey(rows: DataFrame, key: Sequence[str], probes: dict[str, tuple[Column,
     return rows.select(*key, F.nullif(F.array_join(codes, "+"), F.lit("")).alias("signature"), band.alias("band"), score.alias("score"), checked.alias("checked"))
 
 
+def probed(rows: DataFrame, key: Sequence[str], probes: dict[str, tuple[Column, Column, bool]]) -> DataFrame:
+    """key..., probe, passed, code: a row for each probe that applies, with the code of a failure."""
+    sides = F.array(*(F.struct(F.lit(name).alias("probe"), ok.alias("passed"), F.when(~ok, code).alias("code")) for name, (ok, code, _) in probes.items()))
+    return rows.select(*key, F.inline(sides)).where("passed IS NOT NULL")
+
+
+def bands(surveyed: DataFrame) -> DataFrame:
+    """band, n, mean_score: how the surveyed rows stand."""
+    return surveyed.groupBy("band").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
+
+
+def due(hosts: DataFrame, surveyed: DataFrame, most: int) -> DataFrame:
+    """record, origin: what to survey next, at most `most`: records never surveyed, an equal quota for each type, what quotas leave going to types in order of name, then those surveyed longest ago.
+
+    `surveyed` has record and computed_at. Within a type the order is that of the id.
+    Only each type's first `most` records are ranked.
+    """
+    fresh = hosts.select(*RECORD).distinct().join(surveyed.select(*RECORD), RECORD, "left_anti")
+    placed = fresh.withColumn("place", F.row_number().over(Window.partitionBy("tendable_type").orderBy("tendable_id"))).where(F.col("place") <= most)
+    types = hosts.agg(F.greatest(F.floor(F.lit(most) / F.greatest(F.count_distinct("tendable_type"), F.lit(1))), F.lit(1)).alias("quota"))
+    first = placed.crossJoin(F.broadcast(types)).withColumn("extra", (F.col("place") > F.col("quota")).cast("int"))  # one row
+    never = first.orderBy("extra", "tendable_type", "place").limit(most).select(*RECORD, F.lit("never").alias("origin"), F.lit(0).alias("part"), F.lit(None).cast("timestamp_ntz").alias("at"))
+    oldest = surveyed.groupBy(*RECORD).agg(F.max("computed_at").alias("at")).orderBy("at", *RECORD).limit(most).select(*RECORD, F.lit("stale").alias("origin"), F.lit(1).alias("part"), "at")
+    return never.unionByName(oldest).orderBy("part", "at", *RECORD).limit(most).select(*RECORD, "origin")
+
+
 def piles(rows: DataFrame, by: Sequence[str], ident: str, clock: str, samples: int = 3) -> DataFrame:
     """by..., n, samples: failures that look alike, with the newest of them by name."""
     newest = Window.partitionBy(*by).orderBy(F.col(clock).desc_nulls_last(), F.col(ident).desc())

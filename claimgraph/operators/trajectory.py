@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimgraph.functions.text import plain_value
 from claimgraph.operators.claims import CHURN, similarities
 from claimgraph.operators.visits import applied, numbered
 
@@ -107,11 +108,11 @@ def compounding(visits: DataFrame, claims: DataFrame, last: int = 50) -> DataFra
     """pass, updated, churned, churn_rate over the n-th readings of records on facets, numbered as `visits.passes` does.
 
     `churned` are the changes that a reading left which only restate the value
-    before (a null value is written 'null'); the rate is of the updates that visits
+    before (a null value is written 'null', a string without its quotes); the rate is of the updates that visits
     report, null without any. The first of the `last` readings has nothing before it.
     """
     changed = timeline(visits, claims).where("kind = 'changed'")
-    text = lambda c: F.coalesce(c, F.lit("null")).alias(c)
+    text = lambda c: F.coalesce(plain_value(F.col(c)), F.lit("null")).alias(c)
     pairs = changed.select(F.to_json(F.struct("visit_id", "key"), {"ignoreNullFields": "false"}).alias("__pair"), "visit_id", text("from_value"), text("to_value"))
     alike = similarities(pairs, "__pair", "from_value", "to_value").where(F.col("similarity") > CHURN)
     churned = pairs.select("__pair", "visit_id").join(alike, "__pair").groupBy("visit_id").agg(F.count("*").alias("churned"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Queries in one block: a block is what a task holds beside its own rows.
 BLOCK = 1024
+#: Rows in one slice: with a block of queries, what a task holds, however many rows there are.
+SLICE = 50_000
 
 
 def knn(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
@@ -24,8 +26,9 @@ def knn(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int) -
     asked = held(queries)
     parts = max(1, -(-asked.count() // BLOCK))
     packed = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(parts))).groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("queries"))  # about BLOCK rows each
-    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slices = held(vectors).withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(n)))
+    known = held(vectors)
+    n = max(-(-known.count() // SLICE), 1)
+    slices = known.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(n)))
     grid = packed.select("block", "queries", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("slice"))
 
     def block(keys: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -35,6 +38,8 @@ def knn(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int) -
         rows = np.stack(right["v"].to_numpy()).astype(np.float64)
         size = np.linalg.norm(rows, axis=1)
         rows, ids = rows[size > 0] / size[size > 0, None], right["id"].to_numpy()[size > 0]
+        order = np.argsort(ids, kind="stable")
+        rows, ids = rows[order], ids[order]
         out = []
         for asked_block in left["queries"]:
             q_ids = np.array([x["id"] for x in asked_block])
@@ -45,11 +50,12 @@ def knn(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int) -
                 continue
             far = np.round(1.0 - q @ rows.T, 9)
             far[q_ids[:, None] == ids[None, :]] = np.inf
-            order = np.argsort(ids, kind="stable")
-            best = order[np.argsort(far[:, order], axis=1, kind="stable")[:, :k]]
-            d = np.take_along_axis(far, best, axis=1)
-            ok = np.isfinite(d)
-            out.append(pd.DataFrame({"query": np.repeat(q_ids, best.shape[1])[ok.ravel()], "id": ids[best].ravel()[ok.ravel()], "distance": d.ravel()[ok.ravel()]}))
+            # The k smallest, of equal ones those of the smaller id, without a sort of all.
+            last = np.partition(far, min(k, far.shape[1]) - 1, axis=1)[:, min(k, far.shape[1]) - 1, None]
+            nearer, equal = far < last, far == last
+            best = (nearer | equal & (equal.cumsum(axis=1) <= k - nearer.sum(axis=1, keepdims=True))) & np.isfinite(far)
+            q_at, at = np.nonzero(best)
+            out.append(pd.DataFrame({"query": q_ids[q_at], "id": ids[at], "distance": far[q_at, at]}))
         return pd.concat(out) if out else pd.DataFrame({n: [] for n in names})
 
     near = grid.groupBy("slice").cogroup(slices.groupBy("slice")).applyInPandas(block, f"query {kind}, id {kind}, distance double")
@@ -59,3 +65,9 @@ def knn(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int) -
 def _best(near: DataFrame, k: int) -> DataFrame:
     ranked = near.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("distance", "id")))
     return ranked.where(F.col("place") <= k)
+
+
+def page(vectors: DataFrame, key: str, vector: str, queries: DataFrame, number: int, size: int = 24) -> DataFrame:
+    """One page of `knn`, nearest first; a number under 1 is 1. Rows are filtered by type before."""
+    first = (max(number, 1) - 1) * size
+    return knn(vectors, key, vector, queries, first + size).where(F.col("place") > first)

@@ -85,3 +85,17 @@ def metrics(suggestions: DataFrame) -> DataFrame:
     some = lambda whole, value: F.when(F.col(whole) > 0, value)
     rates = {"proliferation": some("preferred_terms", F.round(F.col("variant_keys") / F.col("preferred_terms"), 2)), "one_off_pct": some("distinct_keys", F.round(100.0 * F.col("one_off_keys") / F.col("distinct_keys")).cast("bigint"))}
     return counted.withColumns(rates)
+
+
+def candidates(suggestions: DataFrame, most: int) -> DataFrame:
+    """facet, proposed_key, demand, first_at, place: pending keys without any verdict, by how many records ask for them, at most `most` a facet; `first_at` is that of the first suggestion by id."""
+    asked = suggestions.where("status = 'pending'").groupBy("facet", "proposed_key").agg(F.count_distinct(F.struct(*RECORD)).alias("demand"), F.min_by("created_at", "id").alias("first_at"))
+    fresh = asked.join(resolved(suggestions), "proposed_key", "left_anti")
+    place = F.row_number().over(Window.partitionBy("facet").orderBy(F.col("demand").desc(), "proposed_key"))
+    return fresh.select("facet", "proposed_key", "demand", "first_at", place.alias("place")).where(F.col("place") <= most)
+
+
+def evidence(suggestions: DataFrame, most: int) -> DataFrame:
+    """proposed_key, tendable_id, facet, place: who asked for a key, each record and facet once, the first `most` by id."""
+    once = suggestions.groupBy("proposed_key", "tendable_id", "facet").agg(F.min("id").alias("id"))
+    return once.select("proposed_key", "tendable_id", "facet", F.row_number().over(Window.partitionBy("proposed_key").orderBy("id")).alias("place")).where(F.col("place") <= most)

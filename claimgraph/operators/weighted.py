@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,7 +64,9 @@ def percentiles(weighted: DataFrame, keys: Sequence[str], shares: Sequence[float
     joined = parts.alias("p").join(offsets.alias("o"), same).select("p.*", "o.base", "o.total")
     within = Window.partitionBy(*keys, "part").orderBy("value")
     running = joined.withColumn("upto", F.col("base") + F.sum("weight").over(within))
-    picked = [F.min(F.when(F.col("upto") >= F.lit(float(s)) * F.col("total"), F.col("value"))).alias(n) for s, n in zip(shares, names, strict=True)]
+    # In whole numbers, as a share such as 0.55 is no exact double.
+    exact = [Fraction(str(s)) for s in shares]
+    picked = [F.min(F.when(F.col("upto") * s.denominator >= F.col("total") * s.numerator, F.col("value"))).alias(n) for s, n in zip(exact, names, strict=True)]
     return running.groupBy(*keys).agg(*picked)
 
 

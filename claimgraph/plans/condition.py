@@ -18,15 +18,19 @@ _DOC = """, p AS (SELECT doc_id, CASE WHEN text IS NULL OR trim(text) = '' THEN
     CASE WHEN gated THEN 0.0 WHEN signature IS NOT NULL THEN 0.5 ELSE 1.0 END::DOUBLE AS score, 3 + sized::INT AS checked FROM g)"""
 
 
-def _surveyed(spark, d):
+def probes():
+    """The probes of the queries below: name to (passes, code, gating)."""
     lang = F.col("lang")
-    probes = {
+    return {
         "legibility": (F.col("text").isNotNull() & (F.trim("text") != ""), F.lit("no_text"), True),
         "size": (F.length("text") == F.col("n_chars"), F.lit("differs"), False),
         "lang": (lang.isNotNull() & (F.coalesce(lang, F.lit("")) == F.lower(F.coalesce(lang, F.lit("")))), F.when(lang.isNull(), "missing").otherwise("case"), False),
         "record": (F.col("tendable_id").isNotNull(), F.lit("none"), False),
     }
-    return survey.survey(table(spark, d, "documents"), ["doc_id"], probes)
+
+
+def _surveyed(spark, d):
+    return survey.survey(table(spark, d, "documents"), ["doc_id"], probes())
 
 
 @_query(_DOC + "SELECT * FROM surveyed")
@@ -128,11 +132,14 @@ def provenance(spark, d):
 
 @_query(
     """, h AS (SELECT tendable_type, tendable_id, context_id, key, max_by(id, (created_at, id)) AS live_id, max_by(locked, (created_at, id)) AS locked FROM lively GROUP BY 1, 2, 3, 4),
-    p AS (SELECT tendable_type, tendable_id, context_id, key, value, CASE id % 4 WHEN 0 THEN 'ADD' WHEN 1 THEN 'update' WHEN 2 THEN 'DELETE' END AS op FROM c WHERE status = 'superseded'),
-    j AS (SELECT p.*, h.live_id, h.locked, coalesce(upper(trim(p.op)), CASE WHEN h.live_id IS NULL THEN 'ADD' ELSE 'UPDATE' END) AS asked FROM p LEFT JOIN h ON h.tendable_type IS NOT DISTINCT FROM p.tendable_type AND h.tendable_id IS NOT DISTINCT FROM p.tendable_id
-      AND h.context_id IS NOT DISTINCT FROM p.context_id AND h.key IS NOT DISTINCT FROM p.key)
-    SELECT tendable_type, tendable_id, context_id, key, CASE WHEN live_id IS NOT NULL AND locked THEN 'NOOP' WHEN asked = 'DELETE' AND live_id IS NOT NULL THEN 'DELETE' WHEN asked = 'DELETE' THEN 'NOOP' WHEN live_id IS NOT NULL AND asked = 'NOOP' THEN 'NOOP'
-      WHEN live_id IS NOT NULL THEN 'UPDATE' WHEN trim(coalesce(value, '')) IN ('', '""', 'null', '[]', '{}') THEN 'NOOP' ELSE 'ADD' END AS op, live_id, value FROM j"""
+    p AS (SELECT c.id, c.tendable_type, c.tendable_id, c.context_id, c.key, c.value, CASE c.id % 4 WHEN 0 THEN 'ADD' WHEN 1 THEN 'UPDATE' WHEN 2 THEN 'DELETE' END AS given, h.live_id AS first_id, coalesce(h.locked, false) AS locked, trim(coalesce(c.value, '')) IN ('', '""', 'null', '[]', '{}') AS blank
+      FROM c LEFT JOIN h ON h.tendable_type IS NOT DISTINCT FROM c.tendable_type AND h.tendable_id IS NOT DISTINCT FROM c.tendable_id AND h.context_id IS NOT DISTINCT FROM c.context_id AND h.key IS NOT DISTINCT FROM c.key WHERE c.status = 'superseded'),
+    q AS (SELECT *, locked AND first_id IS NOT NULL AND NOT coalesce(bool_or(given = 'ADD') OVER b, false) AS fixed FROM p WINDOW b AS (PARTITION BY tendable_type, tendable_id, context_id, key ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    x AS (SELECT *, CASE WHEN given = 'DELETE' THEN CASE WHEN NOT fixed THEN 0 END WHEN given IS NULL OR given = 'ADD' OR NOT blank THEN 1 END AS after FROM q),
+    y AS (SELECT *, coalesce(last_value(after IGNORE NULLS) OVER b, (first_id IS NOT NULL)::INT) = 1 AS here, coalesce(bool_or(after IS NOT NULL AND (NOT fixed OR coalesce(given, '') = 'ADD')) OVER b, false) AS changed FROM x WINDOW b AS (PARTITION BY tendable_type, tendable_id, context_id, key ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    w AS (SELECT *, coalesce(given, CASE WHEN here THEN 'UPDATE' ELSE 'ADD' END) AS asked FROM y)
+    SELECT tendable_type, tendable_id, context_id, key, id, CASE WHEN asked = 'ADD' THEN 'ADD' WHEN here AND fixed THEN 'NOOP' WHEN asked = 'DELETE' THEN CASE WHEN here THEN 'DELETE' ELSE 'NOOP' END WHEN here THEN asked WHEN blank THEN 'NOOP' ELSE 'ADD' END AS op,
+    CASE WHEN NOT changed THEN first_id END AS live_id, value FROM w"""
 )
 def reconcile_ops(spark, d):
     rows = _c(spark, d, *RECORD, "context_id", "key", "value", *_LIVE, "locked", "created_at")
@@ -180,15 +187,25 @@ def recent_activity(spark, d):
     return rows.groupBy("tendable_type", "facet").agg(F.count("*").alias("n"), F.count_distinct("tendable_id").alias("records"))
 
 
+@_query(
+    store._LANES
+    + """, g AS (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY created_at DESC, id DESC) AS r, row_number() OVER (ORDER BY created_at DESC, id DESC) AS q FROM v WHERE status = 'succeeded'),
+    e0 AS (SELECT facet, CASE WHEN count(*) FILTER (applied) > 0 AND sum(coalesce(tokens_total, 0)) > 0 THEN greatest(sum(coalesce(tokens_total, 0))::BIGINT // count(*) FILTER (applied), 1) END AS est FROM g WHERE r <= 50 GROUP BY 1),
+    w0 AS (SELECT CASE WHEN count(*) FILTER (applied) > 0 AND sum(coalesce(tokens_total, 0)) > 0 THEN greatest(sum(coalesce(tokens_total, 0))::BIGINT // count(*) FILTER (applied), 1) END AS est FROM g WHERE q <= 50),
+    k AS (SELECT fr.*, coalesce(e0.est, (SELECT est FROM w0), 4000)::BIGINT AS cost FROM fr LEFT JOIN e0 ON e0.facet IS NOT DISTINCT FROM fr.facet),
+    l AS (SELECT facet, context_id, count(*) AS n, max(cost) AS cost FROM k GROUP BY 1, 2),
+    o AS (SELECT *, least(n, (2000000 // count(*) OVER ()) // cost) AS first FROM l),
+    h AS (SELECT count(*) FILTER (first > 0 AND first < n) AS hungry, 2000000 - sum(first * cost) AS spare FROM o),
+    t AS (SELECT facet, context_id, first + CASE WHEN first > 0 AND first < n THEN least(n - first, (SELECT spare // hungry FROM h) // cost) ELSE 0 END AS take FROM o)
+    SELECT * FROM (SELECT k.*, row_number() OVER (PARTITION BY facet, context_id ORDER BY created_at, member_type, member_id)::INT AS place FROM k) p
+    WHERE place <= (SELECT take FROM t WHERE t.facet IS NOT DISTINCT FROM p.facet AND t.context_id IS NOT DISTINCT FROM p.context_id)"""
+)
 def budget_plan(spark, d):
-    """What 200,000 tokens afford of the frontier, shared fairly among all lanes (facet by context, the root included); dealt in order, so it has no short SQL."""
+    """What 2,000,000 tokens afford of the frontier, shared fairly among all lanes (facet by context, the root included)."""
     wanted, log = store._lanes(spark, d)
     cost = visits.estimates(_v(spark, d, "facet", "status", "applied", "created_at", "tokens_total"))
     waiting = visits.frontier_lanes(wanted, log).alias("w").join(cost.alias("c"), F.col("w.facet").eqNullSafe(F.col("c.facet"))).select("w.*", F.col("c.est").alias("cost"), F.struct("w.facet", "w.context_id").alias("lane"))
-    return planner.planned(waiting, "lane", "cost", [F.col("created_at"), F.col("member_type"), F.col("member_id")], 200_000).drop("lane")
-
-
-store.QUERIES["budget_plan"] = budget_plan
+    return planner.planned(waiting, "lane", "cost", [F.col("created_at").asc_nulls_last(), F.col("member_type"), F.col("member_id")], 2_000_000).drop("lane")
 
 
 @_query(

@@ -101,6 +101,10 @@ SQL = {
     "p2_descendants": _CHAIN
     + """SELECT w.source, w.pos AS ancestor, w.id AS descendant, w.links FROM walk w JOIN ends d ON d.source = w.source AND d.id = w.id
     WHERE w.links > 0 AND w.links <= coalesce(CASE WHEN d.looped THEN list_position(d.path, d.root) - 1 ELSE d.links END, 0)""",
+    "p2_paths": _CHAIN
+    + """, up AS (SELECT d.source, d.id, d.looped, d.root, CASE WHEN d.looped THEN list_slice(d.path, 1, list_position(d.path, d.root)) ELSE d.path END AS path FROM ends d JOIN e ON e.source = d.source AND e.id = d.id WHERE e.parent IS NOT NULL),
+    below AS (SELECT source, pos, count(*) - 1 AS n FROM (SELECT source, unnest(path) AS pos FROM up) GROUP BY 1, 2)
+    SELECT up.source, up.id AS node_id, up.root AS root_id, up.looped AS cyclic, array_to_string(up.path, '>') AS path, below.n AS n_below FROM up JOIN below ON below.source = up.source AND below.pos = up.id""",
     "p3_found": f"""
     SELECT coalesce(context_id, 0) AS context_id, facet, tendable_type FROM {_RECORDS.format("enliterator_visits")}
     GROUP BY 1, 2, 3 HAVING count(*) * 100 >= (SELECT count(DISTINCT id) FROM enliterator_visits)""",

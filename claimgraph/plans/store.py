@@ -82,11 +82,11 @@ item AS (SELECT id, tendable_type, tendable_id, key, confidence, created_at, val
 headed AS (SELECT DISTINCT tendable_type, tendable_id, key, x->>'$' AS term FROM item
   WHERE json_type(x) = 'VARCHAR' AND length(x->>'$') <= 90 AND trim(regexp_replace(x->>'$', '\\s', ' ', 'g')) <> ''
   AND NOT regexp_matches(key, '(^|_)(number|no|id|code|doi|isbn|issn|identifier)(_|$)') AND NOT regexp_matches(key, '^charter_')),
-named AS (SELECT * FROM (SELECT tendable_type || '/' || tendable_id AS node, key, confidence, created_at AS seen_at, regexp_replace(CASE json_type(x) WHEN 'VARCHAR' THEN x->>'$'
+named AS (SELECT * FROM (SELECT tendable_type || '/' || tendable_id AS node, key, NOT nested AND json_type(x) = 'VARCHAR' AS plain, confidence, created_at AS seen_at, regexp_replace(CASE json_type(x) WHEN 'VARCHAR' THEN x->>'$'
     WHEN 'OBJECT' THEN CASE WHEN json_type(coalesce(x->'$.designation', x->'$.name')) = 'VARCHAR' THEN coalesce(x->>'$.designation', x->>'$.name') END END, '^[\\s\\x{{A0}}]+|[\\s\\x{{A0}}]+$', '', 'g') AS term FROM item)
   WHERE length(term) BETWEEN 1 AND 90),
-ident AS (SELECT term, min(node) AS node FROM named WHERE regexp_matches(key, '(^|_)(number|no|id|code|doi|isbn|issn|identifier)(_|$)') OR key = 'title' GROUP BY term HAVING min(node) = max(node)),
-edge0 AS (SELECT n.node AS s, coalesce(i.node, 'term/' || n.term) AS t, n.key, n.confidence AS weight, n.seen_at FROM named n LEFT JOIN ident i ON i.term = n.term
+ident AS (SELECT lower(term) AS term, min(node) AS node FROM named WHERE plain AND (regexp_matches(key, '(^|_)(number|no|id|code|doi|isbn|issn|identifier)(_|$)') OR key = 'title') GROUP BY 1 HAVING min(node) = max(node)),
+edge0 AS (SELECT n.node AS s, coalesce(i.node, 'term/' || lower(n.term)) AS t, n.key, n.confidence AS weight, n.seen_at FROM named n LEFT JOIN ident i ON i.term = lower(n.term)
   WHERE NOT regexp_matches(n.key, '(^|_)(number|no|id|code|doi|isbn|issn|identifier)(_|$)') AND n.key <> 'title'
   UNION ALL SELECT member_type || '/' || member_id, 'context/' || context_id, 'in-context', 1.0, created_at FROM m),
 edges AS MATERIALIZED (SELECT s, t, key, max(weight) AS weight, min(seen_at) AS seen_at, CASE WHEN key = 'in-context' THEN 'context'
@@ -416,7 +416,7 @@ def timeline(spark, d):
 
 @_query(
     _TIMELINE
-    + """, x AS (SELECT visit_id, key, regexp_replace(lower(coalesce(from_value, 'null')), '\\s+', ' ', 'g') AS a, regexp_replace(lower(coalesce(to_value, 'null')), '\\s+', ' ', 'g') AS b, coalesce(from_value, 'null') = coalesce(to_value, 'null') AS same FROM df WHERE kind = 'changed'),
+    + """, x AS (SELECT visit_id, key, regexp_replace(lower(coalesce(CASE WHEN json_type(from_value::JSON) = 'VARCHAR' THEN from_value::JSON->>'$' ELSE from_value END, 'null')), '\\s+', ' ', 'g') AS a, regexp_replace(lower(coalesce(CASE WHEN json_type(to_value::JSON) = 'VARCHAR' THEN to_value::JSON->>'$' ELSE to_value END, 'null')), '\\s+', ' ', 'g') AS b, coalesce(CASE WHEN json_type(from_value::JSON) = 'VARCHAR' THEN from_value::JSON->>'$' ELSE from_value END, 'null') = coalesce(CASE WHEN json_type(to_value::JSON) = 'VARCHAR' THEN to_value::JSON->>'$' ELSE to_value END, 'null') AS same FROM df WHERE kind = 'changed'),
     g AS (SELECT visit_id, key, unnest(list_transform(range(1, length(a)), lambda i: substr(a, i, 2))) AS g, 1 AS l, 0 AS r FROM x UNION ALL SELECT visit_id, key, unnest(list_transform(range(1, length(b)), lambda i: substr(b, i, 2))), 0, 1 FROM x),
     di AS (SELECT visit_id, key, 2.0 * sum(least(l, r)) / sum(l + r) AS dice FROM (SELECT visit_id, key, g, sum(l) AS l, sum(r) AS r FROM g GROUP BY ALL) GROUP BY ALL),
     ch AS (SELECT x.visit_id, count(*) AS n FROM x LEFT JOIN di ON di.visit_id = x.visit_id AND di.key IS NOT DISTINCT FROM x.key WHERE x.same OR di.dice > 0.85 GROUP BY ALL),
@@ -435,12 +435,20 @@ def successions(spark, d):
     return claims.successions(_c(spark, d, "key", "value", "superseded_by_id")).select("id", "next_id", "key")
 
 
-def churn(spark, d):
-    """Every succession's similarity, for which there is no short SQL; see the tests."""
-    return claims.successions(_c(spark, d, "key", "value", "superseded_by_id")).select("id", "next_id", "key", F.round("similarity", 6).alias("similarity"), "churn")
+_PLAIN = "CASE WHEN json_type({0}.value::JSON) = 'VARCHAR' THEN {0}.value::JSON->>'$' ELSE {0}.value END"
 
 
-QUERIES["churn"] = churn
+@_query(
+    f""", x AS (SELECT c.id, s.id AS next_id, c.key, {_PLAIN.format("c")} AS a, {_PLAIN.format("s")} AS b FROM c JOIN c s ON s.id = c.superseded_by_id AND s.key = c.key WHERE c.value IS NOT NULL AND s.value IS NOT NULL),
+    y AS (SELECT *, regexp_replace(lower(a), '\\s+', ' ', 'g') AS l, regexp_replace(lower(b), '\\s+', ' ', 'g') AS r FROM x),
+    g AS (SELECT id, unnest(list_transform(range(1, length(l)), lambda i: substr(l, i, 2))) AS g, 1 AS l, 0 AS r FROM y UNION ALL SELECT id, unnest(list_transform(range(1, length(r)), lambda i: substr(r, i, 2))), 0, 1 FROM y),
+    di AS (SELECT id, 2.0 * sum(least(l, r)) / sum(l + r) AS dice FROM (SELECT id, g, sum(l) AS l, sum(r) AS r FROM g GROUP BY ALL) GROUP BY id),
+    z AS (SELECT y.id, next_id, key, CASE WHEN a = b THEN 1.0::DOUBLE ELSE coalesce(dice, 0.0)::DOUBLE END AS similarity FROM y LEFT JOIN di ON di.id = y.id)
+    SELECT id, next_id, key, round(similarity, 6) AS similarity, similarity > 0.85 AS churn FROM z"""
+)
+def churn(spark, d):
+    """Every succession's similarity."""
+    return claims.successions(_c(spark, d, "key", "value", "superseded_by_id")).select("id", "next_id", "key", F.round("similarity", 6).alias("similarity"), "churn")
 
 
 @_query("SELECT 'members' AS measure, count(*) AS n FROM (SELECT DISTINCT member_type, member_id FROM m) UNION ALL SELECT 'tended', count(*) FROM (SELECT DISTINCT tendable_type, tendable_id FROM done) UNION ALL SELECT 'live_claims', count(*) FROM lively UNION ALL SELECT 'keys', count(DISTINCT key) FROM told")
@@ -639,14 +647,15 @@ def value_digest(spark, d):
     return rows.select("id", F.md5("value").alias("digest"), shortened(F.col("value")).alias("shown"))
 
 
+@_query(
+    """, k AS (SELECT DISTINCT key, hex(encode(key)) AS h FROM c), b AS (SELECT key, h, list_transform(range(0, length(h) // 2), lambda i: (instr('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 1) AS bytes FROM k)
+    SELECT key, list_reduce(list_prepend(2166136261::BIGINT, bytes), lambda h, x: (xor(h, x) * 16777619) % 4294967296)::BIGINT AS hash FROM b"""
+)
 def seeded_hash(spark, d):
-    """The layout hash of every key; bytewise, so it has no short SQL."""
+    """The layout hash of every key, over its bytes."""
     return _c(spark, d, "key").select("key").distinct().select("key", fnv1a(F.col("key")).alias("hash"))
 
 
-QUERIES["seeded_hash"] = seeded_hash
-
-
 @_query("SELECT facet, proposed_key, count(DISTINCT tendable_id) AS records, count(*) AS occurrences, min(id) AS first_id FROM s WHERE status = 'pending' GROUP BY 1, 2")
 def gaps(spark, d):
     return vocabulary.gaps(_suggestions(spark, d))
@@ -733,6 +742,17 @@ def knn(spark, d):
     return near.select("query", "vec_id", F.round("distance", 6).alias("distance"))
 
 
+@_query(
+    """, q AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0), p AS (SELECT q.vec_id AS query, e.vec_id, round(list_cosine_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS distance FROM q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE e.label IN (1, 2, 3)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, vec_id) AS place FROM p) SELECT query, vec_id, distance, place::INT AS place FROM r WHERE place > 8 AND place <= 16"""
+)
+def search_page(spark, d):
+    """The second page of eight of what is nearest to each query among the rows of some labels, with distances."""
+    rows = table(spark, d, "embeddings")
+    near = vectors.page(rows.where(F.col("label").isin(1, 2, 3)), "vec_id", "embedding", rows.where("vec_id % 100 = 0"), 2, 8)
+    return near.select("query", "vec_id", F.round("distance", 6).alias("distance"), "place")
+
+
 @_query(
     """, t AS (SELECT tendable_type, tendable_id, max_by(x, (liked, CASE WHEN liked = 0 THEN length(x) ELSE 0 END, -id)) AS told FROM (SELECT *, value::JSON->>'$' AS x, regexp_matches(lower(key), 'summary|abstract|description|overview')::INT AS liked FROM lively WHERE json_type(value::JSON) = 'VARCHAR')
       WHERE trim(x) <> '' GROUP BY 1, 2), d AS (SELECT tendable_type, tendable_id, min_by(text, doc_id) AS source FROM documents WHERE text IS NOT NULL AND tendable_type IS NOT NULL AND tendable_id IS NOT NULL GROUP BY 1, 2)

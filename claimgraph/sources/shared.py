@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
+_swept: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,6 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own[0]}"
 
 
+def _folder(spark: SparkSession) -> str:
+    """This application's own part of the shared folder; what is left in it goes when the application ends."""
+    folder = f"{shared_dir(spark)}/claimgraph/{spark.sparkContext.applicationId}"
+    if folder not in _swept:
+        _swept.add(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+    return folder
+
+
 class Stage:
     """A DataFrame written once to the shared folder; `df` reads it, `drop` deletes it.
 
@@ -38,7 +51,7 @@ class Stage:
 
     def __init__(self, frame: DataFrame, where: str = "true"):
         self.spark = frame.sparkSession
-        self.path = f"{shared_dir(self.spark)}/claimgraph/{uuid.uuid4().hex}"
+        self.path = f"{_folder(self.spark)}/{uuid.uuid4().hex}"
         seen = Observation()
         counted = frame.observe(seen, F.count("*").alias("rows"), F.count_if(F.expr(where)).alias("held"))
         counted.write.option("compression", "zstd").parquet(self.path)

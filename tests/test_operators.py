@@ -99,9 +99,15 @@ def test_state_at_and_diff(spark):
 
 def test_reconcile(spark):
     asked = [("k", "update", '"z"'), ("k", "DELETE", None), ("held", "DELETE", None), ("new", None, '"n"'), ("blank", "NOOP", '""'), ("absent", "DELETE", None), ("k", None, '"y"'), ("fresh", "UPDATE", "5")]
-    proposed = spark.createDataFrame([("W", "1", None, k, op, v) for k, op, v in asked], "tendable_type string, tendable_id string, context_id long, key string, op string, value string")
-    got = Counter((r.key, r.op, r.live_id) for r in claims.reconcile(log(spark), proposed).collect())
-    assert got == Counter([("k", "UPDATE", 2), ("k", "DELETE", 2), ("held", "NOOP", 4), ("new", "ADD", None), ("blank", "NOOP", None), ("absent", "NOOP", None), ("k", "UPDATE", 2), ("fresh", "ADD", None)])
+    kinds = "tendable_type string, tendable_id string, context_id long, key string, op string, value string, id int"
+    proposed = spark.createDataFrame([("W", "1", None, k, op, v, i) for i, (k, op, v) in enumerate(asked)], kinds)
+    got = [(r.key, r.op, r.live_id) for r in sorted(claims.reconcile(log(spark), proposed).collect(), key=lambda r: r.id)]
+    # Each proposal of a key meets what the ones before it have left.
+    assert got == [("k", "UPDATE", 2), ("k", "DELETE", None), ("held", "NOOP", 4), ("new", "ADD", None), ("blank", "NOOP", None), ("absent", "NOOP", None), ("k", "ADD", None), ("fresh", "ADD", None)]
+    twice = [("k", "ADD", '"q"'), ("held", "ADD", '"q"'), ("held", "UPDATE", '"r"'), ("new", "ADD", '""'), ("new", "odd", None)]
+    proposed = spark.createDataFrame([("W", "1", None, k, op, v, i) for i, (k, op, v) in enumerate(twice)], kinds)
+    got = [(r.key, r.op, r.live_id) for r in sorted(claims.reconcile(log(spark), proposed).collect(), key=lambda r: r.id)]
+    assert got == [("k", "ADD", 2), ("held", "ADD", 4), ("held", "UPDATE", None), ("new", "ADD", None), ("new", "UPDATE", None)]
 
 
 def test_accuracy_precedence(spark):
