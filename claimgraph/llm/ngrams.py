@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A first symbol's suffixes go to this many buckets by record, so that a symbol that stands in every row is many tasks' work. Record counts add up over them, since a record is in one bucket.
-RECORD_BUCKETS = 32
+RECORD_BUCKETS = 256
 
 
 class _Stack:
@@ -60,6 +60,11 @@ def _counter(sigma: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
+            if stack.held and batch.column("s0")[0].as_py() != stack.symbols[0]:
+                numbers.clear()  # no open entry has records: numbers last for one first symbol and a batch
+                done: list = []
+                closed(0, done)
+                yield emitted(done)
             coded = batch.column("record").dictionary_encode()
             local = np.fromiter((numbers.setdefault(r, len(numbers)) for r in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
             record = local[coded.indices.to_numpy(zero_copy_only=False)]
