@@ -76,21 +76,16 @@ def _tour(edges: DataFrame, space: Sequence[str]) -> DataFrame:
     linked = edges.select(*space, "id", "parent", bucket.alias("bucket")).withColumns({"sibling": F.lead("id").over(chain), "place": F.row_number().over(chain)})
     firsts = linked.where("place = 1").select(*space, "parent", "bucket", "id")
     across = Window.partitionBy(*space, "parent").orderBy("bucket")
-    heads = firsts.withColumns({"after": F.lead("id").over(across), "b": F.row_number().over(across)})
+    # Whether a parent has one itself is found for its buckets, which are few, not for its children.
+    inner = edges.select(*space, "id").withColumn("inner", F.lit(True))
+    known = firsts.alias("f").join(inner.alias("p"), _on("f", "p", space, ("parent", "id")), "left").select("f.*", F.coalesce("p.inner", F.lit(False)).alias("inner"))
+    heads = known.withColumns({"after": F.lead("id").over(across), "b": F.row_number().over(across)})
     joined = linked.alias("l").join(heads.alias("h"), _on("l", "h", space, ("parent", "parent"), ("bucket", "bucket")))
     sibling = F.coalesce("l.sibling", "h.after")
     eldest = (F.col("l.place") == 1) & (F.col("h.b") == 1)
-    nodes = joined.select(*(f"l.{c}" for c in space), "l.id", "l.parent", sibling.alias("sibling"), eldest.alias("eldest"))
+    nodes = joined.select(*(f"l.{c}" for c in space), "l.id", "l.parent", sibling.alias("sibling"), eldest.alias("eldest"), "h.inner")
     children = heads.where("b = 1").select(*space, F.col("parent").alias("id"), F.col("id").alias("child"))
-    inner = edges.select(*space, "id").withColumn("inner", F.lit(True))
-    full = (
-        nodes.alias("x")
-        .join(children.alias("c"), _on("x", "c", space, ("id", "id")), "left")
-        .select("x.*", "c.child")
-        .alias("x")
-        .join(inner.alias("p"), _on("x", "p", space, ("parent", "id")), "left")
-        .select("x.*", F.coalesce("p.inner", F.lit(False)).alias("inner"))
-    )
+    full = nodes.alias("x").join(children.alias("c"), _on("x", "c", space, ("id", "id")), "left").select("x.*", "c.child")
     one, down, up = F.lit(1).cast("long"), F.lit(False), F.lit(True)
     null = F.lit(None).cast("long")
     into = F.struct(down.alias("up"), F.coalesce("child", "id").alias("nid"), F.col("child").isNull().alias("nup"), one.alias("n"), one.alias("d"), null.alias("root"), (F.col("eldest") & ~F.col("inner")).alias("first"))
