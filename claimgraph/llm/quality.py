@@ -106,19 +106,18 @@ def units(rows: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
     size, end = F.length("u"), F.right(u, F.lit(12))
     # Most units are spared the look for runs by their bytes, the others by their letters.
     runs = (F.octet_length("u") > size) & u.rlike(f"[{RUN}]")
-    shaped = shaped.withColumn("runs", runs).withColumn("v", F.regexp_replace(F.when(F.col("runs"), F.regexp_replace("u", RUN_BREAK, " ")).otherwise(u), WORD, "$1"))
-    shaped = shaped.withColumn("skeleton", F.when(F.col("runs"), F.regexp_replace("u", WORD, "$1")).otherwise(F.col("v")))
+    shaped = shaped.withColumns({"runs": runs, "skeleton": F.regexp_replace("u", WORD, "$1")})
     in_runs = lambda pattern: F.when(F.col("runs"), size - _without(u, pattern)).otherwise(0)
-    # What is left of the skeleton without letters and spaces is short.
-    rest = F.replace(F.replace(F.regexp_replace("skeleton", r"[\p{L}\p{M}]+", ""), F.lit(" ")), F.lit("\t"))
+    # What is left of the skeleton without letters, and without spaces, is short.
+    shaped = shaped.withColumn("unlettered", F.regexp_replace("skeleton", r"[\p{L}\p{M}]+", ""))
+    rest = F.replace(F.replace("unlettered", F.lit(" ")), F.lit("\t"))
     counted = shaped.withColumn("rest", rest).select(
         "key",
         "place",
         *keep,
         "broken",
-        (size - F.length("skeleton") + F.length(F.regexp_replace("skeleton", r"[^\p{L}\p{M}]+", ""))).alias("n_letters"),
+        (size - F.length("unlettered")).alias("n_letters"),
         F.length("rest").alias("n_rest"),
-        F.length(F.regexp_replace("v", r"[^\p{L}]+", "")).alias("n_words"),
         F.regexp_extract_all(F.when(F.col("runs"), F.regexp_replace("u", RUN_BREAK, " ")).otherwise(u), F.lit(WORD), F.lit(0)).alias("w"),
         in_runs(RUN_LETTER).alias("n_run"),
         in_runs(_one_of(RUN_CLAUSE + RUN_PHRASE)).alias("n_run_common"),
@@ -135,7 +134,7 @@ def units(rows: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
     known = counted.withColumn("c", F.filter("w", lambda w: w.isin(everyday)))
     sizes = {
         "chars": F.col("n_letters") + F.col("n_rest"),
-        "words": F.col("n_words") + F.col("n_run"),
+        "words": F.size("w") + F.col("n_run"),
         "n_common": F.size("c") + F.col("n_run_common"),
         "n_clause": F.size(F.filter("c", lambda w: w.isin(clause))) + F.col("n_run_clause"),
     }
@@ -145,7 +144,7 @@ def units(rows: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
             "span": F.when(F.col("n_ends") > 0, F.col("chars") / F.col("n_ends")).otherwise(999.0),
             "runs": F.col("n_run") / F.greatest("chars", F.lit(1)),
         }
-    ).drop("w", "c", "broken", "n_words", "n_rest", "n_run", "n_run_common", "n_run_clause")
+    ).drop("w", "c", "broken", "n_rest", "n_run", "n_run_common", "n_run_clause")
 
 
 def _shares(rows: DataFrame) -> DataFrame:
