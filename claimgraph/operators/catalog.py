@@ -19,6 +19,12 @@ def host_types(visits: DataFrame, internal: str = "%::%") -> DataFrame:
     return visits.where(~F.col("tendable_type").like(internal)).select("tendable_type").distinct()
 
 
+def corpus(visits: DataFrame, registered: list[str], masked: list[str]) -> DataFrame:
+    """tendable_type: registered types and those in the visit log, without masked ones."""
+    named = visits.sparkSession.createDataFrame([(t,) for t in registered], "tendable_type string")
+    return host_types(visits).unionByName(named).distinct().where(~F.col("tendable_type").isin(*masked))
+
+
 def overview(claims: DataFrame, memberships: DataFrame, visits: DataFrame) -> DataFrame:
     """measure, n: holdings, tended records, live claims and keys in use, as rows."""
     one = lambda name, rows: rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("measure"), "n")

@@ -54,3 +54,13 @@ def to_parents(rows: DataFrame, parts: DataFrame, kind: str = "Enliterator::Part
     held = parts.select(F.col("id").cast("string").alias("__part"), F.col("record_type").alias("__type"), F.col("record_id").cast("string").alias("__id"))
     joined = rows.join(held, (F.col("tendable_type") == kind) & (F.col("tendable_id") == F.col("__part")), "left")
     return joined.withColumns({"tendable_type": F.coalesce("__type", "tendable_type"), "tendable_id": F.when(F.col("__type").isNotNull(), F.col("__id")).otherwise(F.col("tendable_id"))}).select(*rows.columns)
+
+
+def nearest(closed: DataFrame, declared: DataFrame, value: str) -> DataFrame:
+    """context_id, value, origin: for each context what the nearest context on its path, itself first, declares; contexts without any are left out.
+
+    `declared` has context_id and the value, one row for each context.
+    """
+    told = declared.select(F.col("context_id").alias("origin"), value)
+    held = closed.join(told, F.col("ancestor_id") == F.col("origin"))
+    return held.groupBy("context_id").agg(F.min_by(F.struct(value, "origin"), "depth").alias("d")).select("context_id", f"d.{value}", "d.origin")

@@ -68,6 +68,16 @@ def piles(rows: DataFrame, by: Sequence[str], ident: str, clock: str, samples: i
     return counted.alias("c").join(named.alias("s"), same).select("c.*", "s.samples")
 
 
+def sightings(before: DataFrame, now: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by..., known, n, changed: piles now against those seen before (null where there is none); a pile that is new, gone or of another size has changed. Both have by and n; nulls in `by` are equal."""
+    same = F.lit(True)
+    for k in by:
+        same = same & F.col(f"b.{k}").eqNullSafe(F.col(f"a.{k}"))
+    b, a = before.withColumn("__there", F.lit(True)).alias("b"), now.withColumn("__there", F.lit(True)).alias("a")
+    key = [F.when(F.col("a.__there"), F.col(f"a.{k}")).otherwise(F.col(f"b.{k}")).alias(k) for k in by]
+    return b.join(a, same, "full_outer").select(*key, F.col("b.n").alias("known"), F.col("a.n").alias("n"), (~F.col("a.n").eqNullSafe(F.col("b.n"))).alias("changed"))
+
+
 def residue(visits: DataFrame, claims: DataFrame, memberships: DataFrame, least: int) -> DataFrame:
     """record, visits: members that were read at least `least` times and have no live claim."""
     read = visits.where("status = 'succeeded' AND applied").groupBy(*RECORD).agg(F.count("*").alias("visits")).where(F.col("visits") >= least)

@@ -99,3 +99,9 @@ def evidence(suggestions: DataFrame, most: int) -> DataFrame:
     """proposed_key, tendable_id, facet, place: who asked for a key, each record and facet once, the first `most` by id."""
     once = suggestions.groupBy("proposed_key", "tendable_id", "facet").agg(F.min("id").alias("id"))
     return once.select("proposed_key", "tendable_id", "facet", F.row_number().over(Window.partitionBy("proposed_key").orderBy("id")).alias("place")).where(F.col("place") <= most)
+
+
+def overlay(own: DataFrame, approved: DataFrame) -> DataFrame:
+    """facet, key, origin: a facet's own keys and the approved ones; a key that is both is its own. Both have facet and key."""
+    mine, theirs = own.distinct().withColumn("o", F.lit("own")), approved.distinct().withColumn("a", F.lit("approved"))
+    return mine.join(theirs, ["facet", "key"], "full_outer").select("facet", "key", F.coalesce("o", "a").alias("origin"))

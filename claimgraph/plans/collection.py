@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from claimgraph.functions import text
-from claimgraph.operators import audits, brief, claims, graph, name_groups, survey, visits, vocabulary
+from claimgraph.operators import audits, brief, catalog, claims, graph, name_groups, scope, survey, visits, vocabulary
 from claimgraph.plans import condition, store
 from claimgraph.plans.condition import _DOC, _LIVE, _surveyed
 from claimgraph.plans.store import MONTH, RECORD, THEN, _a, _c, _contexts, _m, _query, _suggestions, _v
@@ -365,8 +365,6 @@ def failures_per_day(spark, d):
 )
 def context_paths(spark, d):
     """Every context's path from the top, depth and number of children."""
-    from claimgraph.operators import scope
-
     known = _contexts(spark, d)
     up = scope.closure(known).join(known.select(F.col("id").alias("ancestor_id"), "key"), "ancestor_id")
     line = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("depth")).alias("o"), "key"))), lambda x: x["key"]), "/")
@@ -375,4 +373,42 @@ def context_paths(spark, d):
     return paths.join(kids, "id", "left").select("id", "path", "depth", F.coalesce("children", F.lit(0).cast("bigint")).alias("children"))
 
 
+@_query(
+    """, p AS (SELECT facet, model, created_at >= TIMESTAMP '2031-01-01' AS late, count(*) AS n FROM v WHERE status = 'failed' AND created_at >= TIMESTAMP '2030-01-01' GROUP BY 1, 2, 3)
+    SELECT coalesce(a.facet, b.facet) AS facet, coalesce(a.model, b.model) AS model, b.n AS known, a.n AS n, a.n IS DISTINCT FROM b.n AS changed FROM (SELECT * FROM p WHERE late) a
+    FULL JOIN (SELECT * FROM p WHERE NOT late) b ON a.facet IS NOT DISTINCT FROM b.facet AND a.model IS NOT DISTINCT FROM b.model"""
+)
+def pile_changes(spark, d):
+    """Failures by facet and model of the last half year against those of the year before."""
+    failed = _v(spark, d, "facet", "model", "status", "created_at").where("status = 'failed'")
+    start, cut = (F.lit(datetime(y, 1, 1)).cast("timestamp_ntz") for y in (2030, 2031))
+    pile = lambda rows: rows.groupBy("facet", "model").agg(F.count("*").alias("n"))
+    return survey.sightings(pile(failed.where((F.col("created_at") >= start) & (F.col("created_at") < cut))), pile(failed.where(F.col("created_at") >= cut)), ["facet", "model"])
+
+
+@_query("SELECT DISTINCT tendable_type FROM (SELECT tendable_type FROM v WHERE tendable_type NOT LIKE '%::%' UNION SELECT unnest(['Thesis', 'Atlas', 'Collection'])) WHERE tendable_type NOT IN ('Collection', 'Dataset')")
+def host_corpus(spark, d):
+    return catalog.corpus(_v(spark, d, "tendable_type"), ["Thesis", "Atlas", "Collection"], ["Collection", "Dataset"])
+
+
+#: Every third context declares a tier here, as the contexts have none.
+@_query(
+    """, p AS (SELECT id, CASE id % 2 WHEN 0 THEN 'quality' ELSE 'cheap' END AS tier FROM enliterator_contexts WHERE id % 3 = 1)
+    SELECT up.context_id, min_by(p.tier, depth) AS tier, min_by(p.id, depth) AS origin FROM up JOIN p ON p.id = up.ancestor_id GROUP BY 1"""
+)
+def context_policy(spark, d):
+    known = _contexts(spark, d)
+    declared = known.where("id % 3 = 1").select(F.col("id").alias("context_id"), F.when(F.col("id") % 2 == 0, "quality").otherwise("cheap").alias("tier"))
+    return scope.nearest(scope.closure(known), declared, "tier")
+
+
+@_query(
+    """, o AS (SELECT DISTINCT facet, proposed_key AS key FROM s WHERE status = 'mapped'), p AS (SELECT DISTINCT facet, proposed_key AS key FROM s WHERE status IN ('approved', 'pending'))
+    SELECT coalesce(o.facet, p.facet) AS facet, coalesce(o.key, p.key) AS key, CASE WHEN o.key IS NOT NULL THEN 'own' ELSE 'approved' END AS origin FROM o FULL JOIN p ON o.facet = p.facet AND o.key = p.key"""
+)
+def effective_terms(spark, d):
+    rows = _suggestions(spark, d).select("facet", F.col("proposed_key").alias("key"), "status")
+    return vocabulary.overlay(rows.where("status = 'mapped'").drop("status"), rows.where("status IN ('approved', 'pending')").drop("status"))
+
+
 QUERIES, SQL = store.QUERIES, store.SQL
