@@ -78,9 +78,10 @@ def planned(candidates: DataFrame, lane: str, cost: str, order: Sequence[Column]
     """The candidates that the budget affords, with their `place` in their lane.
 
     `cost` is a lane's cost of one item, the same in all of its rows and at least 1. No
-    lane gets more than the budget buys at its cost, and a budget no more items than it
-    has tokens: ranks beyond that are dropped before the exchange.
+    lane is dealt more than its take: ranks beyond that are dropped before the exchange. The candidates are
+    written once, as they are counted and then ranked.
     """
+    candidates = stage(candidates).df
     counts = candidates.groupBy(lane).agg(F.count("*").alias("n"), F.max(cost).alias("cost"))
     dealt = takes(counts, lane, budget)
     most = max(dealt.agg(F.coalesce(F.max("take"), F.lit(0)).alias("m")).first()["m"], 1)
